@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe
+from . import byte_bpe, sharding
 
-QUERIES = {"op4_byte_bpe": byte_bpe.op4_byte_bpe}
+QUERIES = {
+    "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+    "op6_shards": sharding.op6_shards,
+}
 ORACLES: dict[str, str] = {}
