@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, sharding
+from . import byte_bpe, secrets, sharding
 
 QUERIES = {
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op6_shards": sharding.op6_shards,
+    "op9_secrets": secrets.op9_secrets,
 }
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,121 @@
+import base64
+import bz2
+import gzip
+import hashlib
+import json
+import re
+import urllib.parse
+import zlib
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from kernelweave.llm import secrets
+
+PLAIN = 'before password = "hunter2hunter2" after'
+KEY = "0123456789abcdef01234567"
+
+
+def b64(data: bytes) -> str:
+    return base64.b64encode(data).decode()
+
+
+def all_percent(text: str) -> str:
+    return "".join(f"%{b:02X}" for b in text.encode())
+
+
+def plain_base(text):
+    """The three patterns as they are stated, checked afterwards."""
+    out = []
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for rank, pattern, keep in (
+        (0, assign, lambda m: len(m[2]) >= 6),
+        (1, "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        (2, "[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ):
+        out += [(m.start(), rank, m.end()) for m in re.finditer(pattern, text) if keep(m)]
+    return sorted(out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(
+        st.sampled_from(
+            ["token", "Secret", "api_key", "apikey", "PASSWD", ":", "=", " ", '"', "abc123", "x", "AKIA", "ABCD0123456789XY", KEY, "é", "\n", "ff", "K"]
+        ),
+        max_size=14,
+    ).map("".join)
+)
+def test_base_findings(text):
+    found, _ = secrets.scan_text(text)
+    assert [(f.start, f.rank, f.end) for f in found if not f.layer] == plain_base(text)
+
+
+WRAPPERS = {
+    "url": all_percent,
+    "url_twice": lambda t: all_percent(all_percent(t)),
+    "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    "escape_x": lambda t: "".join(f"\\x{ord(c):02x}" for c in t),
+    "reference": lambda t: "".join(f"&#{ord(c)};" for c in t),
+    "base64": lambda t: b64(t.encode()),
+    "base64_url": lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="),
+    "gzip": lambda t: b64(gzip.compress(t.encode())),
+    "zlib": lambda t: b64(zlib.compress(t.encode())),
+    "bzip2": lambda t: b64(bz2.compress(t.encode())),
+    "gzip_in_gzip": lambda t: b64(gzip.compress(gzip.compress(t.encode()))),
+    "json_in_base64_in_url": lambda t: urllib.parse.quote(b64(json.dumps({"k": b64(t.encode())}).encode()), safe=""),
+    "base64_in_gzip": lambda t: b64(gzip.compress(b64(t.encode()).encode())),
+    "unicode_in_base64": lambda t: b64("".join(f"\\u{ord(c):04x}" for c in t).encode()),
+}
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_layers(name):
+    inner = WRAPPERS[name](PLAIN)
+    text = f"Ünïcode first, {inner} and last."
+    found, cuts = secrets.scan_text(text)
+    assign = [f for f in found if f.kind == "assign"]
+    assert assign and all(f.layer for f in assign) and not cuts
+    for f in assign:
+        assert len("Ünïcode first, ") <= f.start < f.end <= len("Ünïcode first, ") + len(inner)
+    assert "hunter2" not in "".join(WRAPPERS.get("url")(secrets.redact_text(text)))
+    clean, _ = secrets.scan_text(secrets.redact_text(text))
+    assert not [f for f in clean if f.kind == "assign"]
+
+
+def test_exact_spans_inside_escapes():
+    text = "x password%3Dhunter22 y"
+    (f,) = secrets.scan_text(text)[0]
+    assert (text[f.start : f.end], f.value) == ("password%3Dhunter22", "password=hunter22")
+
+
+def test_cycles_and_bombs_end(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_INFLATED", 1000)
+    bomb = b64(gzip.compress(b"z" * 100_000))
+    found, cuts = secrets.scan_text(f"see {bomb} here")
+    assert cuts == 1 and not found
+    looped = [b"same"]
+    monkeypatch.setattr(secrets, "inflate", lambda data: (looped[0], "loop", False) if data == looped[0] else None)
+    assert secrets.unwrapped(b"same")[1] == ("loop",)
+
+
+def test_query(spark):
+    texts = [None, "", PLAIN, PLAIN, KEY, f"é {b64(PLAIN.encode())}", "z " * 200_000 + PLAIN, "%41%ZZ %ff \\ud800 &#99999999; \\u{110000}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS findings")
+    got = {r.doc_id: r for r in secrets.digest(df).collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        base = plain_base(text or "")
+        joined = ",".join(f"{secrets.KINDS[r]}:{i}:{j}" for i, r, j in base)
+        assert got[k].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == [sum(r == x for _, r, _ in base) for x in range(3)]
+        assert set(filter(None, joined.split(","))) <= set(got[k].spans.split(","))
+    assert got[5].spans.startswith("assign:") and got[5].n_assign == 0
+    red = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert red[0] is None and red[2] == "before [REDACTED]\" after" and red[4] == "[REDACTED]"
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert secrets.digest(empty).count() == 0 and secrets.redact(empty).count() == 0
