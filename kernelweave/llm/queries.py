@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, secrets, sharding
+from . import byte_bpe, language, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+    "op3_language": language.op3_language,
     "op6_shards": sharding.op6_shards,
+    "op8_quality": quality.op8_quality,
     "op9_secrets": secrets.op9_secrets,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
