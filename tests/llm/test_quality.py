@@ -2,7 +2,7 @@ import numpy as np
 
 from kernelweave.llm import quality
 
-CLEAN = "the cat sat on a mat and it was good for all of us in the old house by the sea"
+CLEAN = "the cat sat on a mat and it was good for all of us in the old house by the sea while we read from a book of tales"
 
 
 def test_label_model_finds_accuracies():
