@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, jaccard, language, quality, secrets, sharding, toxicity
+from . import byte_bpe, decontaminate, jaccard, language, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_jaccard": jaccard.op2_jaccard,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op3_language": language.op3_language,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_shards": sharding.op6_shards,
     "op8_quality": quality.op8_quality,
     "op9_secrets": secrets.op9_secrets,
