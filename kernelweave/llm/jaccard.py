@@ -38,6 +38,8 @@ BLOCK_ELEMENTS = 4_000_000
 SMALL_D = 6
 #: Bits of the filter that spares most texts a third reading; it may only let too many through.
 FILTER_BITS = 1 << 25
+#: Rows of the largest side that is broadcast; beyond, Spark shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -364,7 +366,7 @@ def links(docs: DataFrame, known: DataFrame, found: DataFrame, width: int, thres
 
 
 def join(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold()) -> DataFrame:
-    """doc_id, text_key, n_shingles and component_id of every row of (doc_id, text)."""
+    """doc_id, text_key, group (null: empty set), n_shingles, component_id of every row of (doc_id, text)."""
     known = durable(sets(docs, width))
     by_set = known.where("set_id IS NOT NULL").groupBy("set_id")
     by_set = durable(
@@ -376,11 +378,39 @@ def join(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold()) ->
     root = F.coalesce("root", "set_id")
     rooted = by_set.join(linked, by_set["set_id"] == linked["node"], "left").select("set_id", "least", root.alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("set_id", "component_id")
+    named = rooted.join(smallest, "root").select("set_id", F.col("root").alias("group"), "component_id")
+    component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return known.join(named, "set_id", "left").select(
-        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "text_key", "group", F.col("n").alias("n_shingles"), component.alias("component_id")
     )
 
 
+def first_of_groups(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(80, 100)) -> DataFrame:
+    """The rows, with all their columns, that are the first of their group: by id, null ids last, then by text.
+
+    Texts without words are groups of their own. Of rows with equal id and text, one stays.
+    """
+    joined = durable(join(docs, width, threshold))
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")
+    first = joined.where("group IS NOT NULL").groupBy("group").agg(F.min(place).alias("first"))
+    grouped = joined.where("group IS NOT NULL").join(first, "group")
+    gone = grouped.where(place != F.col("first")).select("doc_id", "text_key").distinct()
+    stays = grouped.where(place == F.col("first")).groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    again = durable(stays.where("n > 1").select("doc_id", "text_key"))
+    keyed = docs.withColumn("__text_key", F.xxhash64(text_or_empty()))
+
+    def without(rows, taken, how="left_anti"):
+        taken = durable(taken)
+        taken = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
+        taken = taken.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+        return rows.join(taken, rows["doc_id"].eqNullSafe(taken["__id"]) & (rows["__text_key"] == taken["__key"]), how)
+
+    kept = without(keyed, gone)
+    if again.count():
+        once = without(kept, again, "left_semi").dropDuplicates(["doc_id", "__text_key"])
+        kept = without(kept, again).unionByName(once)
+    return kept.drop("__text_key")
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).drop("text_key")
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -22,6 +22,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,6 +171,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(rows, "doc_id long, score double", start)
 
 
+def keep_below(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        weights, bias = shared.value.weights, shared.value.bias
+        features = Features(set(weights))
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            logits = [bias + sum(sorted(map(weights.__getitem__, features.of(str(t or ""))))) for t in texts]
+            yield batch.filter(pa.array([z <= -40 or float(sigmoid(z)) < threshold for z in logits], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_labelled(docs: DataFrame, labels: DataFrame, training) -> Model:
     """The model that the label rows and documents with the condition ``training`` on doc_id give."""
     marks = labels.where(training & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())

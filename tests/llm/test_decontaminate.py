@@ -43,7 +43,7 @@ def corpus(seed):
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7)))
     items = [(k, " ".join(word() for _ in range(rng.choice([2, 5, 12, 25, 25, 40])))) for k in range(25)]
     docs = []
-    for k in range(160):
+    for k in range(240):
         body = [word() for _ in range(rng.choice([0, 3, 30, 200]))]
         for _ in range(rng.choice([0, 0, 1, 2])):
             passage = rng.choice(items)[1].split()
