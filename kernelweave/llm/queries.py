@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, jaccard, language, quality, secrets, sharding, toxicity
+from . import byte_bpe, curve_search, decontaminate, jaccard, language, quality, secrets, sharding, toxicity
 
 QUERIES = {
+    "op1_curve_search": curve_search.op1_curve_search,
     "op2_jaccard": jaccard.op2_jaccard,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op3_language": language.op3_language,
