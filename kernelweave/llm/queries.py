@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, curve_search, decontaminate, jaccard, language, quality, secrets, sharding, toxicity
+from . import byte_bpe, curve_search, decontaminate, jaccard, language, licenses, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_curve_search": curve_search.op1_curve_search,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_shards": sharding.op6_shards,
+    "op7_licenses": licenses.op7_licenses,
     "op8_quality": quality.op8_quality,
     "op9_secrets": secrets.op9_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
