@@ -1,6 +1,162 @@
-"""Queries over the test tables, by name, and the SQL that states their results."""
+"""Queries over the test tables by name."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import convert, generators, kernels, learn, patterns, refine, walks
+from ..sources.collections import orders_by, read
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def on_incidence(gid: str, vid: str, plan: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: plan(orders_by(spark, sf_dir, gid, vid))
+
+
+def on_customers(plan):
+    return on_incidence("customer", "p_brand", plan)
+
+
+def on_nations(plan):
+    return on_incidence("nation", "p_brand", plan)
+
+
+def on_cliques(plan):
+    return on_incidence("customer", "p_type", lambda inc: plan(convert.clique(inc)))
+
+
+def totals(features: DataFrame) -> DataFrame:
+    return features.groupBy("gid", "fid").agg(F.sum("cnt").alias("cnt"))
+
+
+def normalised(features: DataFrame) -> DataFrame:
+    own = kernels.self_products(features)
+    return kernels.normalised(kernels.gram(features), own, own)
+
+
+def transform_unseen(inc: DataFrame) -> DataFrame:
+    features = refine.hypergraph_wl(inc, 2)
+    return refine.seen_only(features.where("gid % 5 = 0"), features.where("gid % 5 != 0")).select("gid", "fid", "cnt")
+
+
+def rounded_p(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("p", F.round("p", 6))
+
+
+def ghc_features(adj: DataFrame) -> DataFrame:
+    out = None
+    for name in ("edge", "path3"):
+        hom = patterns.hom_tree(adj, patterns.TREES[name])
+        own = hom.select("gid", F.lit(name).alias("pattern"), F.round(F.log("hom"), 9).alias("x"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def kernel_sum(inc: DataFrame) -> DataFrame:
+    features = refine.hypergraph_wl(inc, 1)
+    return kernels.summed(kernels.gram(features), kernels.gram(features, how="least"))
+
+
+def class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
+    return rows.groupBy(F.col("label").cast("long").alias("gid"), "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+
+
+def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth vector by the three nearest of the others, by Euclidean distance."""
+    rows = read(spark, sf_dir, "embeddings")
+    a = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("gid_a"), F.transform("embedding", lambda x: x.cast("double")).alias("xa"))
+    b = rows.where("vec_id % 5 != 0").select(F.col("vec_id").alias("gid_b"), F.transform("embedding", lambda x: x.cast("double")).alias("xb"))
+    squares = F.zip_with("xa", "xb", lambda x, y: (x - y) * (x - y))
+    d = F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)), 6)
+    pairs = a.crossJoin(b).select("gid_a", "gid_b", d.alias("d"))
+    return learn.knn(pairs, rows.select(F.col("vec_id").alias("gid"), F.col("label").alias("y")))
+
+
+def knn_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("gid"), F.col("label").alias("y"))
+    return knn(spark, sf_dir).join(truth, "gid")
+
+
+def multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hot = lambda c, v, name: (F.col(c) == v).cast("int").alias(name)
+    return read(spark, sf_dir, "labels").select("doc_id", hot("quality", 0, "c0"), hot("quality", 1, "c1"), hot("toxic", 1, "c2"))
+
+
+def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn.kfold(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("gid")).distinct(), 5)
+
+
+def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("quality").cast("double")
+    rows = read(spark, sf_dir, "labels").groupBy((F.col("doc_id") % 5).alias("fold"))
+    return rows.agg(F.round(F.avg(q), 9).alias("mean"), F.round(F.var_pop(q), 9).alias("var"))
+
+
+def distance(p: int) -> Query:
+    return lambda spark, sf_dir: kernels.distances(class_means(spark, sf_dir), p).withColumn("d", F.round("d", 5))
+
+
+def homs(name: str) -> Query:
+    return on_cliques(lambda adj: patterns.hom_tree(adj, patterns.TREES[name]))
+
+
+QUERIES: dict[str, Query] = {
+    "hg_incidence": on_customers(lambda inc: inc),
+    "hg_degree_v": on_customers(convert.degree_v),
+    "hg_degree_e": on_customers(convert.degree_e),
+    "label_dense_rank": on_customers(lambda inc: convert.dense_labels(convert.degree_v(inc), "deg")),
+    "multi_hot_labels": multi_hot,
+    "clique_expand": on_customers(convert.clique),
+    "graph_to_hypergraph": on_customers(lambda inc: convert.as_hypergraph(convert.clique(inc))),
+    "star_expand": on_customers(convert.star),
+    "hyperedge_overlap": on_customers(convert.overlaps),
+    "vertex_cooccurrence": on_customers(convert.cooccurrence),
+    "line_expand": on_customers(lambda inc: convert.directed_line(inc)[1].groupBy("gid").agg(F.count("*").alias("arcs"))),
+    "hg_label_histogram": on_customers(lambda inc: totals(refine.hypergraph_wl(inc, 0))),
+    "wl_features_r2": on_customers(lambda inc: totals(refine.hypergraph_wl(inc, 2))),
+    "wl_gram": on_nations(lambda inc: kernels.gram(refine.hypergraph_wl(inc, 2))),
+    "wl_gram_oa": on_nations(lambda inc: kernels.gram(refine.hypergraph_wl(inc, 2), how="least")),
+    "wl_kernel_norm": on_nations(lambda inc: normalised(refine.hypergraph_wl(inc, 2))),
+    "wl_transform_unseen": on_nations(transform_unseen),
+    "hyedge_features": on_customers(lambda inc: totals(refine.hyperedge_wl(inc, 2))),
+    "hyedge_kernel": on_nations(lambda inc: normalised(refine.hyperedge_wl(inc, 2))),
+    "list_wl_features": on_customers(lambda inc: totals(refine.list_wl(inc, 1))),
+    "graph_wl_features": on_cliques(lambda adj: totals(refine.graph_wl(adj, 2))),
+    "evmn_features": on_customers(lambda inc: walks.degree_walk(inc).withColumn("p", F.round("p", 9))),
+    "return_prob_hyper": on_nations(lambda inc: rounded_p(walks.diagonals(walks.hypergraph_walk(inc), 3))),
+    "return_prob_graph": on_cliques(lambda adj: rounded_p(walks.diagonals(walks.graph_walk(adj), 3))),
+    "isomo_trace_features": on_customers(lambda inc: walks.cooccurrence_traces(inc, 3)),
+    "hom_edge": homs("edge"),
+    "hom_path3": homs("path3"),
+    "hom_star3": homs("star3"),
+    "hom_path4": homs("path4"),
+    "hom_fork5": homs("fork5"),
+    "hom_cycle3": on_cliques(lambda adj: patterns.hom_cycle(adj, 3)),
+    "triangle_count": on_cliques(patterns.triangles),
+    "graphlet3_counts": on_cliques(patterns.graphlets3),
+    "shortest_path_hist": on_cliques(lambda adj: patterns.path_histogram(adj, 4)),
+    "ghc_features": on_cliques(ghc_features),
+    "pairwise_l1": distance(1),
+    "pairwise_l2": distance(2),
+    "exp_median_kernel": lambda spark, sf_dir: kernels.exponential(kernels.distances(class_means(spark, sf_dir), 2), 1e-5).withColumn("k", F.round("k", 5)),
+    "kernel_sum": on_nations(kernel_sum),
+    "knn3_predict": knn,
+    "acc_f1_metrics": lambda spark, sf_dir: learn.classification_metrics(knn_scored(spark, sf_dir)),
+    "hamming_loss": lambda spark, sf_dir: learn.hamming_loss(read(spark, sf_dir, "labels").selectExpr("quality AS a", "toxic AS b")),
+    "adjusted_rand": lambda spark, sf_dir: learn.adjusted_rand(knn_scored(spark, sf_dir).selectExpr("y AS a", "pred AS b")),
+    "kfold_assign": folds,
+    "cv_mean_var": fold_scores,
+    "gen_flower": lambda spark, _: generators.flower(spark, 20, 4, 3),
+    "gen_cycle": lambda spark, _: generators.cycle(spark, 20, 2, 3),
+    "gen_wheel": lambda spark, _: generators.wheel(spark, 20, 3, 2, 3),
+    "gen_chain": lambda spark, _: generators.chain(spark, 20, 2, 3),
+    "gen_lattice": lambda spark, _: generators.lattice(spark, 9),
+}
