@@ -177,8 +177,8 @@ ORACLES: dict[str, str] = {
     "list_wl_features": f"WITH {A}, {list_wl(1)} {FEATURES}",
     "graph_wl_features": f"WITH {T}, {graph_wl(2)} {FEATURES}",
     "evmn_features": f"WITH {A}, {DV} SELECT gid, vid, round(deg / sum(deg) OVER (PARTITION BY gid), 9) AS p FROM dv",
-    "return_prob_hyper": f"WITH {N}, {DV}, {DE}, {diagonals(HYPER_P, 3)} {diagonal_rows(3, 'round(w, 6)')}",
-    "return_prob_graph": f"WITH {T}, {ADJ}, {diagonals(GRAPH_P, 3)} {diagonal_rows(3, 'round(w, 6)')}",
+    "return_prob_hyper": f"WITH {N}, {DV}, {DE}, {diagonals(HYPER_P, 3)} {diagonal_rows(3, 'round(w + 1e-12, 6)')}",
+    "return_prob_graph": f"WITH {T}, {ADJ}, {diagonals(GRAPH_P, 3)} {diagonal_rows(3, 'round(w + 1e-12, 6)')}",
     "isomo_trace_features": f"WITH {A}, {diagonals(COUNTS, 3)}, rows AS ({diagonal_rows(3, 'w')}) SELECT gid, step, CAST(sum(p) AS BIGINT) AS trace FROM rows GROUP BY gid, step",
     "hom_edge": tree((0,)),
     "hom_path3": tree((0, 1)),
@@ -218,3 +218,50 @@ ORACLES: dict[str, str] = {
     "gen_chain": f"SELECT eid, eid * 5 + j AS vid FROM {grid(20, 7)}",
     "gen_lattice": f"SELECT eid, eid * 9 + j AS vid FROM {grid(9, 9)} UNION ALL SELECT eid + 9, j * 9 + eid FROM {grid(9, 9)}",
 }
+
+LINE = (
+    "l AS (SELECT a.gid, a.eid, a.vid AS a, b.vid AS b, md5('l|' || de.deg) AS lbl FROM inc a JOIN inc b ON a.gid = b.gid AND a.eid = b.eid AND a.vid < b.vid "
+    "JOIN de ON de.gid = a.gid AND de.eid = a.eid)"
+)
+IDS = (
+    "ids AS (SELECT kind, deg, row_number() OVER (ORDER BY kind, deg) - 1 AS id FROM (SELECT DISTINCT 0 AS kind, deg FROM dv UNION ALL SELECT DISTINCT 1, deg FROM de)), "
+    "v AS (SELECT gid, vid, id FROM dv JOIN ids ON kind = 0 AND ids.deg = dv.deg), e AS (SELECT gid, eid, id FROM de JOIN ids ON kind = 1 AND ids.deg = de.deg)"
+)
+
+
+def early(rounds: int, threshold: int) -> str:
+    text = wl(rounds)
+    for r in range(1, rounds + 1):
+        text = text.replace(
+            f"v{r} AS (SELECT v.gid, v.vid, md5('v|' || v.lbl || '|' || a.near) AS lbl FROM v{r - 1} v ",
+            f"c{r} AS (SELECT lbl FROM v{r - 1} GROUP BY lbl HAVING count(*) >= {threshold}), "
+            f"v{r} AS (SELECT v.gid, v.vid, CASE WHEN v.lbl IN (SELECT lbl FROM c{r}) THEN md5('v|' || v.lbl || '|' || a.near) ELSE v.lbl END AS lbl FROM v{r - 1} v ",
+        )
+    return text
+
+
+ORACLES |= {
+    "sum_wl_features": f"WITH {A}, {DV}, {DE}, {IDS}, n AS (SELECT i.gid, i.vid, sum(e.id) AS s FROM inc i JOIN e ON e.gid = i.gid AND e.eid = i.eid GROUP BY i.gid, i.vid), "
+    "feat AS (SELECT gid, CAST(id AS VARCHAR) AS fid, 1 AS cnt FROM v UNION ALL SELECT v.gid, v.id || '+' || n.s, 1 FROM v JOIN n ON n.gid = v.gid AND n.vid = v.vid) "
+    + FEATURES,
+    "ewl_features": f"WITH {A}, {early(2, 3)} {FEATURES}",
+    "two_wl_features": f"WITH {T}, {ADJ}, "
+    "x AS (SELECT DISTINCT gid, u FROM sym), p AS (SELECT a.gid, a.u, b.u AS v, CASE WHEN a.u = b.u THEN 'same' WHEN s.u IS NOT NULL THEN 'near' ELSE 'far' END AS lbl "
+    "FROM x a JOIN x b ON a.gid = b.gid LEFT JOIN sym s ON s.gid = a.gid AND s.u = a.u AND s.v = b.u), "
+    "q AS (SELECT l.gid, l.u, r.u AS v, p.lbl || ':' || count(*) AS c FROM sym l JOIN p ON p.gid = l.gid AND p.u = l.v JOIN sym r ON r.gid = p.gid AND r.v = p.v GROUP BY l.gid, l.u, r.u, p.lbl), "
+    "n AS (SELECT gid, u, v, string_agg(c, ',' ORDER BY c) AS near FROM q GROUP BY gid, u, v), "
+    "feat AS (SELECT gid, lbl AS fid, 1 AS cnt FROM p UNION ALL SELECT p.gid, md5('p|' || lbl || '|' || near), 1 FROM p JOIN n ON n.gid = p.gid AND n.u = p.u AND n.v = p.v) "
+    + FEATURES,
+    "directed_line_features": f"WITH {A}, {DE}, {LINE}, j AS (SELECT t.gid, t.eid AS te, t.a, t.b, t.lbl AS tail, h.eid AS he, h.b AS c, h.lbl AS head FROM l t JOIN l h ON h.gid = t.gid AND h.a = t.b), "
+    "feat AS (SELECT gid, lbl AS fid, 1 AS cnt FROM l UNION ALL "
+    "SELECT gid, md5('in|' || head || '|' || string_agg(tail, ',' ORDER BY tail)), 1 FROM j GROUP BY gid, he, b, c, head UNION ALL "
+    "SELECT gid, md5('out|' || tail || '|' || string_agg(head, ',' ORDER BY head)), 1 FROM j GROUP BY gid, te, a, b, tail) "
+    + FEATURES,
+    "soft_edge_weights": f"WITH {A}, {DV}, {DE}, o AS (SELECT DISTINCT a.gid, a.eid AS e1, b.eid AS e2 FROM inc a JOIN inc b ON a.gid = b.gid AND a.vid = b.vid AND a.eid <= b.eid), "
+    "h AS (SELECT i.gid, i.eid, deg, count(*) AS n FROM inc i JOIN dv ON dv.gid = i.gid AND dv.vid = i.vid GROUP BY i.gid, i.eid, deg), "
+    "z AS (SELECT o.*, deg, n FROM o JOIN h ON h.gid = o.gid AND h.eid = o.e1 UNION ALL SELECT o.*, deg, -n FROM o JOIN h ON h.gid = o.gid AND h.eid = o.e2), "
+    "y AS (SELECT gid, e1, e2, deg, abs(sum(n)) AS n FROM z GROUP BY gid, e1, e2, deg) "
+    "SELECT y.gid, e1, e2, CAST(1 + CAST(any_value(a.deg) <> any_value(b.deg) AS INTEGER) + sum(n) AS BIGINT) AS w FROM y JOIN de a ON a.gid = y.gid AND a.eid = e1 JOIN de b ON b.gid = y.gid AND b.eid = e2 GROUP BY y.gid, e1, e2",
+    "rooted_expected_sequences": f"WITH {A}, {DV}, {DE}, m AS (SELECT gid, count(*) AS m FROM de GROUP BY gid), s AS (SELECT i.gid, i.vid, deg FROM inc i JOIN de ON de.gid = i.gid AND de.eid = i.eid) "
+    "SELECT a.gid, a.deg AS s1, b.deg AS s2, round(sum(1.0 / CAST(m * a.deg * dv.deg AS DOUBLE)) + 1e-12, 6) AS p FROM s a JOIN s b ON a.gid = b.gid AND a.vid = b.vid JOIN dv ON dv.gid = a.gid AND dv.vid = a.vid JOIN m ON m.gid = a.gid GROUP BY a.gid, a.deg, b.deg",
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import convert, generators, kernels, learn, patterns, refine, walks
+from ..operators import convert, generators, kernels, learn, patterns, refine, refine_ids, soft, walks
 from ..sources.collections import orders_by, read
 from .oracles import ORACLES
 
@@ -47,7 +47,8 @@ def transform_unseen(inc: DataFrame) -> DataFrame:
 
 
 def rounded_p(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("p", F.round("p", 6))
+    """Six decimals; sums of halves that end in a 5 go up, in whichever order they were added."""
+    return rows.withColumn("p", F.round(F.col("p") + 1e-12, 6))
 
 
 def ghc_features(adj: DataFrame) -> DataFrame:
@@ -130,6 +131,12 @@ QUERIES: dict[str, Query] = {
     "hyedge_kernel": on_nations(lambda inc: normalised(refine.hyperedge_wl(inc, 2))),
     "list_wl_features": on_customers(lambda inc: totals(refine.list_wl(inc, 1))),
     "graph_wl_features": on_cliques(lambda adj: totals(refine.graph_wl(adj, 2))),
+    "sum_wl_features": on_customers(lambda inc: totals(refine_ids.sum_wl(inc))),
+    "ewl_features": on_customers(lambda inc: totals(refine_ids.early_stopping_wl(inc, 2, 3))),
+    "two_wl_features": on_cliques(lambda adj: totals(refine_ids.two_wl(adj))),
+    "directed_line_features": on_customers(lambda inc: totals(refine_ids.directed_line_wl(inc))),
+    "soft_edge_weights": on_customers(soft.soft_edge_weights),
+    "rooted_expected_sequences": on_customers(lambda inc: rounded_p(soft.rooted_expected(inc))),
     "evmn_features": on_customers(lambda inc: walks.degree_walk(inc).withColumn("p", F.round("p", 9))),
     "return_prob_hyper": on_nations(lambda inc: rounded_p(walks.diagonals(walks.hypergraph_walk(inc), 3))),
     "return_prob_graph": on_cliques(lambda adj: rounded_p(walks.diagonals(walks.graph_walk(adj), 3))),
