@@ -55,3 +55,23 @@ def adjusted_rand(pairs: DataFrame) -> DataFrame:
     expected = F.col("i") * F.col("j") / every
     ari = (F.col("ij") - expected) / ((F.col("i") + F.col("j")) / 2 - expected)
     return ij.crossJoin(i).crossJoin(j).select(F.round(ari, 9).alias("ari"))
+
+
+def normalized_mutual_info(pairs: DataFrame) -> DataFrame:
+    """nmi of two labellings (a, b), by the mean of their entropies."""
+    total = pairs.agg(F.count("*").cast("double").alias("t"))
+    cells = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))
+    cells = cells.select("a", "b", (F.col("n") / F.col("t")).alias("q"))
+    qa, qb = cells.groupBy("a").agg(F.sum("q").alias("qa")), cells.groupBy("b").agg(F.sum("q").alias("qb"))
+    both = cells.join(qa, "a").join(qb, "b")
+    info = both.agg(F.sum(F.col("q") * F.log(F.col("q") / (F.col("qa") * F.col("qb")))).alias("i"))
+    entropy = lambda df, c, name: df.agg((-F.sum(F.col(c) * F.log(c))).alias(name))
+    parts = info.crossJoin(entropy(qa, "qa", "ha")).crossJoin(entropy(qb, "qb", "hb"))
+    return parts.select(F.round(F.col("i") / ((F.col("ha") + F.col("hb")) / 2), 6).alias("nmi"))
+
+
+def multilabel_metrics(rows: DataFrame) -> DataFrame:
+    """Exact matches and share of right labels, from (truth, pred) as arrays of 0 and 1."""
+    right = F.aggregate(F.zip_with("truth", "pred", lambda a, b: (a == b).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    exact = F.avg((F.col("truth") == F.col("pred")).cast("double"))
+    return rows.agg(F.round(exact, 9).alias("exact_match"), F.round(F.avg(right / F.size("truth")), 9).alias("accuracy"))

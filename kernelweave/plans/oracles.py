@@ -265,3 +265,16 @@ ORACLES |= {
     "rooted_expected_sequences": f"WITH {A}, {DV}, {DE}, m AS (SELECT gid, count(*) AS m FROM de GROUP BY gid), s AS (SELECT i.gid, i.vid, deg FROM inc i JOIN de ON de.gid = i.gid AND de.eid = i.eid) "
     "SELECT a.gid, a.deg AS s1, b.deg AS s2, round(sum(1.0 / CAST(m * a.deg * dv.deg AS DOUBLE)) + 1e-12, 6) AS p FROM s a JOIN s b ON a.gid = b.gid AND a.vid = b.vid JOIN dv ON dv.gid = a.gid AND dv.vid = a.vid JOIN m ON m.gid = a.gid GROUP BY a.gid, a.deg, b.deg",
 }
+
+L1 = "d AS (SELECT a.gid AS gid_a, b.gid AS gid_b, sum(abs(a.x - b.x)) AS d FROM f a JOIN f b ON a.dim = b.dim GROUP BY a.gid, b.gid)"
+MEDIAN = "s AS (SELECT quantile_disc(d, 0.5) AS s FROM d) SELECT gid_a, gid_b, round(exp(-d / (s + 1e-5)), 6) AS k FROM d, s"
+ORACLES |= {
+    "ghc_kernel": f"WITH {incidence('nation', 'p_brand')}, {ADJ}, f AS (SELECT gid, 'edge' AS dim, round(ln(count(*)), 6) AS x FROM sym GROUP BY gid UNION ALL "
+    f"SELECT a.gid, 'path3', round(ln(count(*)), 6) FROM sym a JOIN sym b ON a.gid = b.gid AND a.v = b.u GROUP BY a.gid), {L1}, {MEDIAN}",
+    "multilabel_metrics": "SELECT round(avg(CAST(quality = 1 AND toxic = 0 AS DOUBLE)), 9) AS exact_match, "
+    "round(avg((CAST(quality = 1 AS DOUBLE) + CAST(toxic = 0 AS DOUBLE)) / 2), 9) AS accuracy FROM labels",
+    "normalized_mutual_info": f"{KNN}, p AS (SELECT pt.y AS a, pred AS b FROM knn JOIN pt ON pt.gid = knn.gid), t AS (SELECT CAST(count(*) AS DOUBLE) AS t FROM p), "
+    "ab AS (SELECT a, b, count(*) / any_value(t) AS q FROM p, t GROUP BY a, b), qa AS (SELECT a, sum(q) AS q FROM ab GROUP BY a), qb AS (SELECT b, sum(q) AS q FROM ab GROUP BY b), "
+    "i AS (SELECT sum(ab.q * ln(ab.q / (qa.q * qb.q))) AS i FROM ab JOIN qa USING (a) JOIN qb USING (b)), "
+    "ha AS (SELECT -sum(q * ln(q)) AS ha FROM qa), hb AS (SELECT -sum(q * ln(q)) AS hb FROM qb) SELECT round(i / ((ha + hb) / 2), 6) AS nmi FROM i, ha, hb",
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import convert, generators, kernels, learn, patterns, refine, refine_ids, soft, walks
+from ..operators import convert, generators, kernels, learn, patterns, refine, refine_ids, soft, spectral, svm, walks
 from ..sources.collections import orders_by, read
 from .oracles import ORACLES
 
@@ -109,6 +109,43 @@ def homs(name: str) -> Query:
     return on_cliques(lambda adj: patterns.hom_tree(adj, patterns.TREES[name]))
 
 
+def ghc_kernel(inc: DataFrame) -> DataFrame:
+    f = ghc_features(convert.clique(inc)).select("gid", F.col("pattern").alias("dim"), F.round("x", 6).alias("x"))
+    return kernels.exponential(kernels.distances(f, 1), 1e-5).withColumn("k", F.round("k", 6))
+
+
+def hsvd_kernel(inc: DataFrame) -> DataFrame:
+    means = spectral.fourier_means(spectral.singular_vectors(inc, 20), 400)
+    return kernels.exponential(kernels.distances(means, 2), 1e-5)
+
+
+def svm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of nations from their hypergraphs, in five folds."""
+    inc = orders_by(spark, sf_dir, "nation", "p_brand")
+    kernel = normalised(refine.hypergraph_wl(inc, 2))
+    labels = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("gid"), F.col("n_regionkey").cast("string").alias("y"))
+    return svm.predict(kernel, labels, learn.kfold(inc.select("gid").distinct(), 5))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("gid"), x.alias("x"), F.col("label").cast("double").alias("y"))
+
+
+def learned(name: str) -> Query:
+    def query(spark, sf_dir):
+        rows = vectors(spark, sf_dir)
+        return svm.learner_predictions(rows.where("gid % 5 != 0"), rows.where("gid % 5 = 0"), name)
+
+    return query
+
+
+def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What always guessing good and harmless would give."""
+    truth = F.array(F.col("quality").cast("int"), F.col("toxic").cast("int"))
+    return learn.multilabel_metrics(read(spark, sf_dir, "labels").select(truth.alias("truth"), F.array(F.lit(1), F.lit(0)).alias("pred")))
+
+
 QUERIES: dict[str, Query] = {
     "hg_incidence": on_customers(lambda inc: inc),
     "hg_degree_v": on_customers(convert.degree_v),
@@ -161,6 +198,14 @@ QUERIES: dict[str, Query] = {
     "adjusted_rand": lambda spark, sf_dir: learn.adjusted_rand(knn_scored(spark, sf_dir).selectExpr("y AS a", "pred AS b")),
     "kfold_assign": folds,
     "cv_mean_var": fold_scores,
+    "ghc_kernel": on_nations(ghc_kernel),
+    "multilabel_metrics": label_sets,
+    "normalized_mutual_info": lambda spark, sf_dir: learn.normalized_mutual_info(knn_scored(spark, sf_dir).selectExpr("y AS a", "pred AS b")),
+    "hsvd_kernel": on_nations(hsvd_kernel),
+    "svm_predict": svm_predict,
+    "logreg_predict": learned("logreg"),
+    "nb_predict": learned("bayes"),
+    "kmeans_assign": lambda spark, sf_dir: svm.clusters(vectors(spark, sf_dir), 10),
     "gen_flower": lambda spark, _: generators.flower(spark, 20, 4, 3),
     "gen_cycle": lambda spark, _: generators.cycle(spark, 20, 2, 3),
     "gen_wheel": lambda spark, _: generators.wheel(spark, 20, 3, 2, 3),
