@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,68 @@ def lattice(spark: SparkSession, side: int) -> DataFrame:
     rows = _grid(spark, side, side).select("eid", (F.col("eid") * side + F.col("j")).alias("vid"))
     columns = _grid(spark, side, side).select((F.col("eid") + side).alias("eid"), (F.col("j") * side + F.col("eid")).alias("vid"))
     return rows.unionByName(columns)
+
+
+def fern(spark: SparkSession, stems: int, own: int) -> DataFrame:
+    """Two leaf edges at each of ``stems`` shared nodes, and one edge of all shared nodes; these come last by id."""
+    first = 2 * stems * own
+    leaves = _grid(spark, 2 * stems, own)
+    # edges 2k and 2k + 1 hang on shared node k; left leaves fill the first half of the ids
+    stem, right = F.floor(F.col("eid") / 2), F.col("eid") % 2
+    at = (stem + right * stems) * own + F.col("j")
+    edges = spark.range(2 * stems)
+    shared = edges.select(F.col("id").alias("eid"), (F.floor(F.col("id") / 2) + first).alias("vid"))
+    spine = spark.range(stems).select(F.lit(2 * stems).cast("long").alias("eid"), (F.col("id") + first).alias("vid"))
+    return leaves.select("eid", at.alias("vid")).unionByName(shared).unionByName(spine)
+
+
+def shuffled(inc: DataFrame, seed: int) -> DataFrame:
+    """Vertices renumbered in a random order that the seed decides."""
+    order = Window.orderBy(F.xxhash64("vid", F.lit(seed)), "vid")
+    names = inc.select("vid").distinct().select("vid", (F.row_number().over(order) - 1).cast("long").alias("new"))
+    return inc.join(names, "vid").select("eid", F.col("new").alias("vid"))
+
+
+def linked(a: DataFrame, b: DataFrame, n_a: int, e_a: int, node_a: int, node_b: int) -> DataFrame:
+    """One hypergraph of both, with node_b of the second being node_a of the first; n_a + n_b - 1 vertices."""
+    moved = F.when(F.col("vid") == node_b, node_a).when(F.col("vid") < node_b, F.col("vid") + n_a).otherwise(F.col("vid") + n_a - 1)
+    return a.unionByName(b.select((F.col("eid") + e_a).alias("eid"), moved.cast("long").alias("vid")))
+
+
+def uniform(spark: SparkSession, graphs: int, vertices: int, edges: int, size: int, seed: int = 5) -> DataFrame:
+    """incidence(gid, eid, vid) of random hypergraphs whose edges are ``size`` distinct vertices each.
+
+    An edge takes the vertices with its smallest seeded hashes, so every task makes its edges alone.
+    """
+    each = spark.range(graphs * edges).select(F.floor(F.col("id") / edges).alias("gid"), (F.col("id") % edges).alias("eid"))
+    ranks = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(vertices - 1).cast("long")), lambda v: F.struct(F.xxhash64("gid", "eid", v, F.lit(seed)).alias("h"), v.alias("v")))
+    chosen = F.slice(F.array_sort(ranks), 1, size)
+    return each.select("gid", "eid", F.explode(F.transform(chosen, lambda x: x["v"])).alias("vid"))
+
+
+def composite(spark: SparkSession, seed: int, kinds: tuple[str, ...] = ("flower", "wheel", "cycle", "chain", "fern", "lattice")) -> tuple[DataFrame, dict]:
+    """A random hypergraph of some of the families linked at random nodes, and which families it has."""
+    import random
+
+    rng = random.Random(seed)
+    target = {k: rng.randint(0, 1) for k in kinds}
+    if not any(target.values()):
+        target[rng.choice(kinds)] = 1
+    out, n, e = None, 0, 0
+    for kind in (k for k in kinds if target[k]):
+        edges, overlap, own = rng.randint(3, 6), rng.randint(1, 3), rng.randint(1, 4)
+        part, n_p, e_p = {
+            "flower": lambda: (flower(spark, edges, overlap, own), edges * own + overlap, edges),
+            "wheel": lambda: (wheel(spark, edges, 1, overlap, own), edges * (own + overlap) + 1, edges),
+            "cycle": lambda: (cycle(spark, edges, overlap, own), edges * (own + overlap), edges),
+            "chain": lambda: (chain(spark, edges, overlap, own), edges * (own + overlap) + overlap, edges),
+            "fern": lambda: (fern(spark, overlap, own), 2 * overlap * own + overlap, 2 * overlap + 1),
+            "lattice": lambda: (lattice(spark, edges), edges * edges, 2 * edges),
+        }[kind]()
+        part = shuffled(part, rng.randrange(1 << 30))
+        if out is None:
+            out, n, e = part, n_p, e_p
+        else:
+            out = linked(out, part, n, e, rng.randrange(n), rng.randrange(n_p))
+            n, e = n + n_p - 1, e + e_p
+    return out, target

@@ -278,3 +278,8 @@ ORACLES |= {
     "i AS (SELECT sum(ab.q * ln(ab.q / (qa.q * qb.q))) AS i FROM ab JOIN qa USING (a) JOIN qb USING (b)), "
     "ha AS (SELECT -sum(q * ln(q)) AS ha FROM qa), hb AS (SELECT -sum(q * ln(q)) AS hb FROM qb) SELECT round(i / ((ha + hb) / 2), 6) AS nmi FROM i, ha, hb",
 }
+
+ORACLES["gen_fern"] = (
+    f"SELECT eid, (eid // 2 + (eid % 2) * 5) * 3 + j AS vid FROM {grid(10, 3)} UNION ALL "
+    "SELECT i, i // 2 + 30 FROM range(10) e(i) UNION ALL SELECT 10, i + 30 FROM range(5) v(i)"
+)

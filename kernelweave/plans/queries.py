@@ -209,6 +209,9 @@ QUERIES: dict[str, Query] = {
     "gen_flower": lambda spark, _: generators.flower(spark, 20, 4, 3),
     "gen_cycle": lambda spark, _: generators.cycle(spark, 20, 2, 3),
     "gen_wheel": lambda spark, _: generators.wheel(spark, 20, 3, 2, 3),
+    "gen_fern": lambda spark, _: generators.fern(spark, 5, 3),
+    "gen_random_linked": lambda spark, _: generators.composite(spark, 5)[0],
+    "gen_uniform": lambda spark, _: generators.uniform(spark, 20, 50, 100, 4),
     "gen_chain": lambda spark, _: generators.chain(spark, 20, 2, 3),
     "gen_lattice": lambda spark, _: generators.lattice(spark, 9),
 }
