@@ -22,7 +22,8 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kernelweave-")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        folder = folder or tempfile.mkdtemp(prefix="kernelweave-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
