@@ -35,7 +35,7 @@ DIMENSIONS = 6
 BITS = 10
 WINDOW = 0.16
 TILE = 512
-QUERY_TILE = 64
+QUERY_TILE = 512
 SEED = 20
 
 
@@ -84,8 +84,14 @@ class Curves:
         return hilbert_keys((at * (1 << BITS)).astype(np.int64), BITS)
 
 
-def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
-    """vector (binary doubles), ids: the ``most`` smallest ids of each usable vector; summed a task at a time first."""
+def number_type(*tables: DataFrame) -> str:
+    """Vectors travel as they are stored, single or double; all sums are made in double precision."""
+    types = {t.schema["embedding"].dataType.simpleString() for t in tables}
+    return "<f4" if types == {"array<float>"} else "<f8"
+
+
+def distinct_vectors(rows: DataFrame, most: int, kind: str) -> DataFrame:
+    """vector (binary), ids: the ``most`` smallest ids of each usable vector; summed a task at a time first."""
 
     def start():
         def step(batch):
@@ -93,7 +99,7 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
             for own, vector in zip(batch["vec_id"], batch["embedding"], strict=True):
                 if own is None or not vector or None in vector:
                     continue
-                data = np.array(vector, np.float64) + 0.0
+                data = np.array(vector, kind) + np.array(0, kind)  # no negative zeros
                 if np.isfinite(data).all() and data.any():
                     held.setdefault(data.tobytes(), []).append(own)
             ids = [sorted(set(x))[:most] for x in held.values()]
@@ -108,12 +114,16 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     return each.groupBy("vector").agg(ids.alias("ids"))
 
 
-def _units(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    vectors = np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
-    return vectors, vectors / np.abs(vectors).max(axis=1, keepdims=True)
+def _vectors(data: bytes, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(data, kind).astype(np.float64).reshape(-1, width)
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
 
 
-def keyed(vectors: DataFrame, width: int) -> DataFrame:
+def keyed(vectors: DataFrame, width: int, kind: str) -> DataFrame:
     """curve, key and all columns of (vector, ids), once for each curve."""
 
     def run(batches):
@@ -122,8 +132,7 @@ def keyed(vectors: DataFrame, width: int) -> DataFrame:
             data = batch.column(0).to_pylist()
             if not data:
                 continue
-            _, unit = _units(data)
-            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+            unit = _units(_vectors(b"".join(data), kind, width))
             for curve in range(CURVES):
                 keys = pa.array(curves.keys(unit, curve))
                 number = pa.array(np.full(len(data), curve, np.int32))
@@ -175,13 +184,15 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 5, window: float = WINDOW) -> DataFrame:
     """query_id, rank, vec_id, score: for each (vec_id, embedding) of ``queries`` its k nearest found in ``rows``."""
-    entries = durable(distinct_vectors(rows, k + 1))
-    asked = durable(distinct_vectors(queries, 1 << 30))
+    kind = number_type(rows, queries)
+    entries = durable(distinct_vectors(rows, k + 1, kind))
+    asked = durable(distinct_vectors(queries, 1 << 30, kind))
     sizes = entries.groupBy(F.length("vector").alias("bytes")).agg(F.count("*").alias("n"))
     usual = sizes.orderBy(F.desc("n"), "bytes").first()
-    width = usual.bytes // 8 if usual else 1
-    fits = F.length("vector") == width * 8
-    tiles = durable(packed(keyed(entries.where(fits), width), TILE))
+    size = np.dtype(kind).itemsize
+    width = usual.bytes // size if usual else 1
+    fits = F.length("vector") == width * size
+    tiles = durable(packed(keyed(entries.where(fits), width, kind), TILE))
     # the places of tiles along a curve: one row for TILE vectors
     place = F.row_number().over(Window.partitionBy("curve").orderBy("low", "high"))
     places = durable(tiles.select("curve", "low", "high", F.xxhash64("vectors").alias("tile")).withColumn("place", place))
@@ -190,16 +201,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, window: float = WIND
 
     per_query = asked.where(fits).select("vector", F.explode("ids").alias("id"))
     # queries of one tile are neighbours on the first curve; on the others each finds its own windows
-    lists = packed(keyed(per_query.select("vector", F.array("id").alias("ids")), width).where("curve = 0"), QUERY_TILE)
+    lists = packed(keyed(per_query.select("vector", F.array("id").alias("ids")), width, kind).where("curve = 0"), QUERY_TILE)
     blocks = durable(lists.select(F.xxhash64("vectors", "ids").alias("block"), "vectors", "ids"))
 
     def spots(batches):
         curves = Curves(width)
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                vectors = np.frombuffer(data, np.float64).reshape(-1, width)
-                unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-                unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+                unit = _units(_vectors(data, kind, width))
                 for curve in range(CURVES):
                     keys = np.unique(curves.keys(unit, curve))
                     n = len(keys)
@@ -218,8 +227,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, window: float = WIND
     near = homes.select("block", "curve", F.explode(F.sequence(F.col("home") - reach, F.col("home") + reach)).alias("place"))
     wanted = near.distinct().join(places, ["curve", "place"]).select("block", "curve", "tile")
     data = tiles.withColumn("tile", F.xxhash64("vectors")).select("curve", "tile", "vectors", "ids")
-    meets = wanted.join(data, ["curve", "tile"]).select("block", F.lit(1).alias("kind"), "vectors", "ids")
-    meets = meets.unionByName(blocks.select("block", F.lit(0).alias("kind"), "vectors", "ids"))
+    meets = wanted.join(data, ["curve", "tile"]).select("block", F.lit(1).alias("role"), "vectors", "ids")
+    meets = meets.unionByName(blocks.select("block", F.lit(0).alias("role"), "vectors", "ids"))
 
     def rerank(batches):
         current, own, best = None, None, None
@@ -237,10 +246,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, window: float = WIND
             return sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]
 
         for batch in batches:
-            for block, kind, data, ids in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                vectors = np.frombuffer(data, np.float64).reshape(-1, width)
+            for block, role, data, ids in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                vectors = _vectors(data, kind, width)
                 norms = np.linalg.norm(vectors, axis=1)
-                if kind == 0:
+                if role == 0:
                     if own:
                         yield result()
                     current, own = block, ([x[0] for x in ids], vectors, norms)
@@ -266,7 +275,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, window: float = WIND
             yield result()
 
     # one task merges a block's windows as they stream by
-    dealt = meets.repartition(F.col("block")).sortWithinPartitions("block", "kind")
+    dealt = meets.repartition(F.col("block")).sortWithinPartitions("block", "role")
     return dealt.mapInArrow(rerank, "query_id long, rank int, vec_id long, score double")
 
 
