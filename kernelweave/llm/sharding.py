@@ -20,7 +20,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable, table, text_or_empty
@@ -42,15 +42,15 @@ class Segment:
     groups: int
 
 
-def plan_giants(largest: list[tuple[int, int]], total: int, shards: int) -> tuple[list[int], int]:
-    """Keys of groups that take a shard each, from (key, size) by falling size; and what the others weigh."""
+def plan_giants(largest: list[tuple[int, int]], total: int, shards: int) -> list[int]:
+    """Keys of groups that take a shard each, from (key, size) by falling size."""
     giants = []
     for key, size in largest:
         if shards - len(giants) <= 1 or size * (shards - len(giants)) < total:
             break
         giants.append(key)
         total -= size
-    return giants, total
+    return giants
 
 
 def walk(segments: list[Segment], ends: list[int], capacity: int, shards: int, anywhere: bool) -> list[int]:
@@ -80,14 +80,21 @@ def smallest(segments: list[Segment], ends: list[int], shards: int, anywhere: bo
     return low
 
 
-def sums(groups: DataFrame, ranges: list[tuple[int, int]], shift: int) -> list[Segment]:
-    """Byte sums and group counts of the key ranges of 2 ** shift keys inside the given ranges."""
-    inside = F.lit(False)
-    for low, high in ranges:
-        inside = inside | F.col("key").between(low, high)
+def literal(values: list[int]) -> Column:
+    """An array of longs from one string, as thousands of literals would make a tree too deep to plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def sums(groups: DataFrame, within: list[Segment] | None, shift: int) -> list[Segment]:
+    """Byte sums and group counts of the ranges of 2 ** shift keys in the given segments (all of one shift), or in all."""
+    if within is not None:
+        spark = groups.sparkSession
+        # at most SEGMENTS numbers
+        wanted = spark.range(1).select(F.explode(literal([s.low >> s.shift for s in within])).alias("wanted"))
+        own = F.shiftright("key", within[0].shift)
+        groups = groups.join(F.broadcast(wanted), own == F.col("wanted"), "left_semi")
     rows = (
-        groups.where(inside)
-        .groupBy(F.shiftright("key", shift).alias("segment"))
+        groups.groupBy(F.shiftright("key", shift).alias("segment"))
         .agg(F.sum("bytes").alias("bytes"), F.count("*").alias("groups"))
         .collect()  # no more rows than segments were asked for
     )
@@ -97,7 +104,7 @@ def sums(groups: DataFrame, ranges: list[tuple[int, int]], shift: int) -> list[S
 def capacity_and_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     """The smallest capacity, and the first keys of all shards but the first. ``groups``: key, bytes."""
     shift = 64 - (SEGMENTS.bit_length() - 1)
-    segments = sums(groups, [(-(1 << 63), (1 << 63) - 1)], shift)
+    segments = sums(groups, None, shift)
     if not segments:
         return 0, []
     while True:
@@ -123,25 +130,13 @@ def capacity_and_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         fresh = {}
         for shift in {segments[k].shift for k in open_}:
             now = [segments[k] for k in open_ if segments[k].shift == shift]
-            for s in sums(groups, merged(now), max(0, shift - finer)):
+            for s in sums(groups, now, max(0, shift - finer)):
                 fresh[s.low] = s
         gone = set(open_)
         kept = {s.low: s for k, s in enumerate(segments) if k not in gone}
         segments = [s for _, s in sorted((kept | fresh).items())]
 
 
-def merged(segments: list[Segment]) -> list[tuple[int, int]]:
-    """Key ranges, both ends included, with neighbours joined."""
-    out: list[tuple[int, int]] = []
-    for s in segments:
-        high = s.low + (1 << s.shift) - 1
-        if out and out[-1][1] + 1 == s.low:
-            out[-1] = (out[-1][0], high)
-        else:
-            out.append((s.low, high))
-    return out
-
-
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of (doc_id, text)."""
     text = text_or_empty()
@@ -156,14 +151,15 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = durable(slim.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
     total, rows = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     largest = groups.orderBy(F.desc("bytes"), "key").limit(shards).collect()
-    giants, _ = plan_giants([(r.key, r.bytes) for r in largest], total, shards)
+    giants = plan_giants([(r.key, r.bytes) for r in largest], total, shards)
     _, cuts = capacity_and_cuts(groups.where(~F.col("key").isin(giants)) if giants else groups, shards - len(giants))
 
     number = F.lit(len(giants))
-    for cut in cuts:
-        number = number + (F.col("key") >= cut).cast("int")
-    for k, key in enumerate(giants):
-        number = F.when(F.col("key") == key, k).otherwise(number)
+    if cuts:
+        number = number + F.size(F.filter(literal(cuts), lambda cut: cut <= F.col("key")))
+    if giants:
+        alone = F.array_position(literal(giants), F.col("key"))
+        number = F.when(alone > 0, alone - 1).otherwise(number)
     parts = max(1, min(MAX_PARTS, -(-rows // (shards * ROWS_A_PART))))
     placed = slim.withColumns(
         {"shard": number.cast("int"), "part": F.pmod(F.xxhash64("doc_id", F.lit(parts)), F.lit(parts))}

@@ -63,3 +63,29 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert sharding.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_thousands_of_open_ranges(spark):
+    rng = random.Random(8)
+    keys = sorted(rng.randrange(-(1 << 63), 1 << 63) for _ in range(20_000))
+    groups = spark.createDataFrame([(k, 1 + k % 7) for k in keys], "key long, bytes long").cache()
+    shift = 64 - 13
+    segments = sharding.sums(groups, None, shift)
+    assert len(segments) > 5_000 and sum(s.groups for s in segments) == len(keys)
+    fine = sharding.sums(groups, segments[::2], shift - 3)
+    wanted = {s.low >> shift for s in segments[::2]}
+    inside = [k for k in keys if k >> shift in wanted]
+    assert sum(s.groups for s in fine) == len(inside) and sum(s.size for s in fine) == sum(1 + k % 7 for k in inside)
+
+
+def test_many_shards_and_long_texts(spark):
+    rows = [(k, f"text {k} " * (1 + k % 50)) for k in range(3000)] + [(9000, "long " * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(df, shards=700).collect()
+    assert len(got) == len(rows) and max(r.shard for r in got) < 700
+    assert {r.size for r in got if r.doc_id == 9000} == {1_500_016}
+    loads = {}
+    for r in got:
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+    rest = sorted(loads.values())[:-1]
+    assert len(loads) > 650 and max(rest) < 3 * sum(rest) / len(rest)
