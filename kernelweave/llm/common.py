@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -17,14 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a copy in the folder of ``spark.checkpoint.dir``, which every executor sees.
 
-    Only where that setting is absent (tests on one machine) a temporary folder stands in.
+    Where that setting is absent, a relative folder of the default file system stands in on one machine;
+    on a cluster it is an error, as a folder that only the driver sees would lose the rows.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        folder = folder or tempfile.mkdtemp(prefix="kernelweave-")
-        context.setCheckpointDir(folder)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
     return df.checkpoint(eager=True)
 
 
@@ -32,6 +33,23 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Bytes of Arrow columns that are turned into Python lists at a time, unless a single row is larger.
+PIECE_BYTES = 1 << 22
+
+
+def pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows, halved while they hold more than ``PIECE_BYTES``."""
+    for at in range(0, batch.num_rows, rows):
+        work = [batch.slice(at, rows)]
+        while work:
+            piece = work.pop()
+            if piece.num_rows > 1 and piece.nbytes > PIECE_BYTES:
+                half = piece.num_rows // 2
+                work += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece
+
+
 def map_batches(
     df: DataFrame,
     schema: str,
@@ -40,15 +58,14 @@ def map_batches(
 ) -> DataFrame:
     """mapInArrow over Python lists: ``start()`` runs once a task and returns the function of a batch.
 
-    Batches hold at most ``rows`` rows, so that a few very long texts do not pile up in a worker.
+    Batches hold at most ``rows`` rows and ``PIECE_BYTES``, so that very long texts do not pile up in a worker.
     """
     target = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                piece = batch.slice(at, rows)
+            for piece in pieces(batch, rows):
                 out = step({n: piece.column(i).to_pylist() for i, n in enumerate(piece.schema.names)})
                 arrays = [
                     out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in target

@@ -2,17 +2,21 @@
 
 Confirmed toxic documents are the positives. The unlabelled texts are the documents that were put before
 the labellers, toxic or not, with their marks hidden: of these the share of toxic ones, the class prior
-that the estimator needs, is known. Texts are seen as the set of their words and of the words' character n-grams (``SIZES``), hashed
-to ``SPACE`` numbers; the ``FEATURES`` numbers that tell positives most clearly from unlabelled texts
-are kept, and a logistic scorer is fitted to them in numpy under the non-negative risk estimator. All
-texts are then scored whole.
+that the estimator needs, is known. Texts are seen as the set of their words and of the words' character
+n-grams (``SIZES``), hashed to ``SPACE`` numbers; the numbers that tell positives most clearly from
+unlabelled texts are kept, and a logistic scorer is fitted to them in numpy under the non-negative risk
+estimator. All texts are then scored whole.
 
 Bounds of the fit, as parameters: ``MOST_POSITIVE`` positives and ``MOST_UNLABELLED`` unlabelled texts,
-those with the smallest hashes of their ids. Nothing else is bounded or sampled.
+those with the smallest hashes of their ids; the model has ``FEATURES`` weights at most, of numbers that
+are in ``LEAST_TEXTS`` positives or ``LEAST_SHARE`` of them, and stand out by ``LEAST_LIFT`` and
+``LEAST_Z``. Scoring is bounded by nothing.
 
 Defined results: a null text is the empty text, and a text without a kept feature has the score of the
-bias; without positives the score is the prior (0); repeated label rows of a document count as
-toxic if one says so; labels of null ids or null marks are ignored; further columns are not read.
+bias; without positives the score is the prior (0); an empty table of documents gives no rows, and of
+labels no positives; repeated documents get a row and the same score each; repeated label rows of a
+document count as toxic if one says so; labels of null ids or null marks are ignored; further columns
+are not read, and pass through :func:`keep_below`.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, table, text_or_empty
+from .common import durable, map_batches, pieces, table, text_or_empty
 from .language import remainder
 from .linear import Rows, fit_positive_unlabelled, sigmoid
 
@@ -39,8 +43,10 @@ LEAST_TEXTS = 3
 LEAST_SHARE = 0.01  # of the positives
 LEAST_LIFT = 2.0  # over the share of unlabelled texts
 LEAST_Z = 4.0
-REMEMBERED = 150_000
+REMEMBERED_BYTES = 40 << 20  # of a worker, about
+NOTHING: frozenset = frozenset()
 THRESHOLD = 0.3
+ROWS = 512
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -67,39 +73,57 @@ class Model:
 
 
 class Features:
-    """The kept numbers of a text, word by word; remembers recent words."""
+    """The kept numbers of a text, word by word; remembers short recent words, most of which keep none."""
 
-    def __init__(self, kept: set[int] | None):
+    def __init__(self, kept: set[int]):
         self.kept = kept
         self.memory: dict[str, frozenset] = {}
+        self.room = REMEMBERED_BYTES
 
     def of(self, text: str) -> set[int]:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
         out: set[int] = set()
         memory = self.memory
         for word in words(text):
             found = memory.get(word)
             if found is None:
-                found = numbers(word)
-                found = memory[word] = frozenset(found if self.kept is None else found & self.kept)
+                found = frozenset(numbers(word) & self.kept) or NOTHING
+                if len(word) < 64:
+                    self.room -= 200 + 100 * len(found)
+                    if self.room < 0:
+                        memory.clear()
+                        self.room = REMEMBERED_BYTES
+                    memory[word] = found
             if found:
                 out |= found
         return out
 
 
+def all_numbers(texts: list[str]) -> np.ndarray:
+    """The distinct numbers of each text, text after text. A word that several texts hold is hashed once."""
+    place: dict[str, int] = {}
+    owned = [np.fromiter((place.setdefault(w, len(place)) for w in words(t)), np.int64) for t in texts]
+    by_word = [np.fromiter(numbers(w), np.int32) for w in place]
+    none = np.zeros(0, np.int32)
+    return np.concatenate([none, *(np.unique(np.concatenate([none, *(by_word[k] for k in own)])) for own in owned)])
+
+
 def count_features(sample: DataFrame) -> DataFrame:
-    """number, of_positive, of_unlabelled: texts with each number, over rows of (text, positive)."""
+    """number, of_positive, of_unlabelled: texts with each number, over rows of (text, positive).
 
-    def start():
-        features = Features(None)
+    Nothing is kept from batch to batch; what a batch counts goes on as a row for each number.
+    """
 
+    def start():
         def step(batch):
-            counts = np.zeros((2, SPACE), np.int32)
+            sides: list[list[str]] = [[], []]
             for text, positive in zip(batch["text"], batch["positive"], strict=True):
-                counts[int(not positive), list(features.of(text))] += 1
-            found = np.flatnonzero(counts.any(axis=0))
-            return {"number": found, "of_positive": counts[0, found], "of_unlabelled": counts[1, found]}
+                sides[int(not positive)].append(text)
+            counted = [np.unique(all_numbers(texts), return_counts=True) for texts in sides]
+            found = np.union1d(counted[0][0], counted[1][0])
+            counts = np.zeros((2, len(found)), np.int64)
+            for side, (number, n) in enumerate(counted):
+                counts[side, np.searchsorted(found, number)] = n
+            return {"number": found.astype(np.int64), "of_positive": counts[0], "of_unlabelled": counts[1]}
 
         return step
 
@@ -179,9 +203,10 @@ def keep_below(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         weights, bias = shared.value.weights, shared.value.bias
         features = Features(set(weights))
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            logits = [bias + sum(sorted(map(weights.__getitem__, features.of(str(t or ""))))) for t in texts]
-            yield batch.filter(pa.array([z <= -40 or float(sigmoid(z)) < threshold for z in logits], pa.bool_()))
+            for piece in pieces(batch, ROWS):
+                texts = piece.column(piece.schema.get_field_index("text")).to_pylist()
+                logits = [bias + sum(sorted(map(weights.__getitem__, features.of(str(t or ""))))) for t in texts]
+                yield piece.filter(pa.array([z <= -40 or float(sigmoid(z)) < threshold for z in logits], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

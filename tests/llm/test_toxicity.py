@@ -78,3 +78,29 @@ def test_empty_tables(spark):
     assert toxicity.digest(docs, labels).count() == 0
     some = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert [r.predicted for r in toxicity.digest(some, labels).collect()] == [0]
+
+
+def test_counts_of_numbers(spark):
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choice(["ab", "abc", "Zeta", "zeta", "zetas", "é"]) for _ in range(rng.randrange(6))), rng.random() < 0.4) for _ in range(60)]
+    want = {}
+    for text, positive in rows:
+        for number in set().union(*map(toxicity.numbers, toxicity.words(text))):
+            want.setdefault(number, [0, 0])[int(not positive)] += 1
+    got = toxicity.count_features(spark.createDataFrame(rows, "text string, positive boolean").repartition(3)).collect()
+    assert {r.number: [r.of_positive, r.of_unlabelled] for r in got} == want
+
+
+def test_filter_keeps_what_scores_low(spark):
+    docs, labels = corpus(300)
+    rows = [*docs, docs[0], docs[0], (None, None), (9000, "word " * 400_000 + "vexum")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS score", "'x' AS features")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    model = toxicity.fit_labelled(d, lab, F.lit(True))
+    kept = toxicity.keep_below(d, model)
+    low = {(r.doc_id, r.score) for r in toxicity.score(d, model).collect() if r.score < toxicity.THRESHOLD}
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {k for k, _ in low}
+    assert kept.where("doc_id = 0").count() in (0, 3) and kept.where("doc_id = 9000").count() == 0
+    assert toxicity.keep_below(d.limit(0), model).count() == 0
