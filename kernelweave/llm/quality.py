@@ -3,8 +3,8 @@
 Overlapping heuristic labellers vote good, bad or nothing on each whole text. What the label model needs
 of all documents is how often each combination of votes occurs, of which there are at most
 3 ** len(LABELLERS), however many documents there are. Expectation-maximisation over these counts
-estimates how often each labeller, where it votes, is right on good and on bad documents, and the share
-of good ones; to abstain says nothing. The posterior of a combination is the weak label of its documents. A logistic scorer over hashed tokens
+estimates how often each labeller votes on good and on bad documents, how often it is right where it
+does, and the share of good ones. One who looks for a defect votes bad or nothing. The posterior of a combination is the weak label of its documents. A logistic scorer over hashed tokens
 learns the posteriors of a bounded sample and scores every whole text, also where no labeller votes.
 
 Bound of the fit, as a parameter: ``SAMPLE`` documents, those with the smallest hashes of their ids.
@@ -122,21 +122,22 @@ def measure(text: str, tokens: list[str], facts: Memory) -> Measures:
     )
 
 
-def _vote(value: float, bad_from: float, good_to: float) -> int:
-    return BAD if value >= bad_from else GOOD if value <= good_to else NONE
+def _defect(seen: bool) -> int:
+    """One who looks for a defect says nothing of texts without it: these may have another."""
+    return BAD if seen else NONE
 
 
 #: name: vote on the measures. The thresholds are common ones of web-text filters.
 LABELLERS = {
-    "function_words": lambda m: GOOD if m.function_share >= 0.15 else BAD if m.function_share < 0.06 and m.words >= FEW else NONE,
-    "symbols": lambda m: _vote(m.symbol_share, 0.05, 0.005),
-    "upper_case": lambda m: _vote(m.upper_share, 0.3, 0.1),
-    "exclamations": lambda m: _vote(m.loud_share, 0.2, -1),
-    "bare_tokens": lambda m: _vote(m.bar_share, 0.15, 0.02),
-    "repeated_words": lambda m: _vote(m.repeat_share, 0.2, 0.05),
-    "repeated_lines": lambda m: _vote(m.line_repeat_share, 0.3, 0.1),
-    "few_distinct": lambda m: BAD if m.words >= FEW and m.distinct_share < 0.15 else NONE,
-    "word_length": lambda m: GOOD if 4 <= m.mean_length <= 6.5 else BAD if not 2.5 <= m.mean_length <= 9 and m.words >= FEW else NONE,
+    "function_words": lambda m: GOOD if 0.1 <= m.function_share <= 0.7 else _defect(m.function_share < 0.04 and m.words >= FEW),
+    "symbols": lambda m: _defect(m.symbol_share >= 0.05),
+    "upper_case": lambda m: _defect(m.upper_share >= 0.3),
+    "exclamations": lambda m: _defect(m.loud_share >= 0.2),
+    "bare_tokens": lambda m: _defect(m.bar_share >= 0.15),
+    "repeated_words": lambda m: _defect(m.repeat_share >= 0.2),
+    "repeated_lines": lambda m: _defect(m.line_repeat_share >= 0.3),
+    "few_distinct": lambda m: _defect(m.words >= FEW and m.distinct_share < 0.15),
+    "word_length": lambda m: GOOD if 4 <= m.mean_length <= 6.5 else _defect(not 2.5 <= m.mean_length <= 9 and m.words >= FEW),
 }
 
 
@@ -156,12 +157,18 @@ def code_of(combination: tuple[int, ...]) -> int:
 class LabelModel:
     good: float  # share of good documents
     tables: np.ndarray  # labeller x class (bad, good) x vote; of those that vote
+    turnout: np.ndarray  # labeller x class: share that votes
+    one_sided: np.ndarray  # labellers that never vote good: their silence tells something, others' does not
 
     def posterior(self, combinations: np.ndarray) -> np.ndarray:
         logs = np.tile(np.log([1 - self.good, self.good]), (len(combinations), 1))
         for k in range(combinations.shape[1]):
             voted = combinations[:, k] != NONE
-            logs[voted] += np.log(self.tables[k][:, combinations[voted, k]]).T
+            if self.one_sided[k]:
+                logs[voted] += np.log(self.turnout[k])
+                logs[~voted] += np.log(1 - self.turnout[k])
+            else:
+                logs[voted] += np.log(self.tables[k][:, combinations[voted, k]].T)
         return sigmoid(logs[:, 1] - logs[:, 0])
 
 
@@ -170,26 +177,44 @@ def combinations_of(codes: np.ndarray) -> np.ndarray:
 
 
 def fit_label_model(codes: np.ndarray, counts: np.ndarray) -> LabelModel:
-    """Expectation-maximisation from the majority of votes; one document of each vote is added for smoothing."""
+    """Expectation-maximisation, from the guess that what any labeller calls bad is bad.
+
+    One document of each vote and class is added for smoothing. No labeller may be worse than a guess.
+    """
     combinations = combinations_of(codes)
+    n = len(LABELLERS)
     bad, good = (combinations == BAD).sum(axis=1), (combinations == GOOD).sum(axis=1)
-    posterior = np.where(bad > 0, 0.25, np.where(good > 0, 0.9, 0.5)) if len(codes) else np.zeros(0)
-    model = LabelModel(0.5, np.full((len(LABELLERS), 2, 2), 0.5))
+    one_sided = ~(combinations == GOOD).any(axis=0)
+    posterior = np.where((bad > 0) & (bad >= good), 0.02, np.where(bad > 0, 0.25, 0.95))
+    model = LabelModel(0.5, np.full((n, 2, 2), 0.5), np.full((n, 2), 0.5), one_sided)
     for _ in range(ROUNDS):
         weights = np.stack([(1 - posterior) * counts, posterior * counts])
-        tables = np.ones((len(LABELLERS), 2, 2))
-        for k in range(len(LABELLERS)):
-            for vote in (BAD, GOOD):
-                tables[k, :, vote] += weights[:, combinations[:, k] == vote].sum(axis=1)
-        tables /= tables.sum(axis=2, keepdims=True)
+        seen = np.ones((n, 2, 3))  # labeller x class x vote (bad, good, none)
+        for k in range(n):
+            for vote in (BAD, GOOD, NONE):
+                seen[k, :, vote] += weights[:, combinations[:, k] == vote].sum(axis=1)
+        seen[one_sided, :, GOOD] = 0
+        voting = seen[:, :, :NONE]
+        tables = _no_worse_than_guesses(voting / voting.sum(axis=2, keepdims=True), voting.sum(axis=1))
+        turnout = voting.sum(axis=2) / seen.sum(axis=2)
+        guess = one_sided & (turnout[:, BAD] < turnout[:, GOOD])
+        turnout[guess] = (voting.sum(axis=(1, 2)) / seen.sum(axis=(1, 2)))[guess, None]
         share = (weights[1].sum() + 1) / (weights.sum() + 2)
-        before, model = model, LabelModel(float(share), tables)
+        before, model = model, LabelModel(float(share), tables, turnout, one_sided)
         posterior = model.posterior(combinations)
-        if abs(before.good - model.good) < 1e-9 and np.allclose(before.tables, tables, atol=1e-9):
+        same = np.allclose(before.tables, tables, atol=1e-9) and np.allclose(before.turnout, turnout, atol=1e-9)
+        if same and abs(before.good - model.good) < 1e-9:
             break
     return model
 
 
+def _no_worse_than_guesses(tables: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Of a labeller that calls good documents bad more often than bad ones, the votes of both classes together."""
+    guess = tables[:, BAD, BAD] < tables[:, GOOD, BAD]
+    tables[guess] = (both / both.sum(axis=1, keepdims=True))[guess, None, :]
+    return tables
+
+
 def shape(token: str) -> str:
     """The token with runs of upper-case, lower-case letters, digits and each other mark as one sign."""
     if token.isalpha():

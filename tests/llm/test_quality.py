@@ -49,3 +49,40 @@ def test_agrees_with_labels(spark):
     got = quality.op8_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     right, total = got.selectExpr("sum(int(keep = quality))", "count(*)").first()
     assert right >= 0.97 * total
+
+
+def test_scores_against_brute_force(spark):
+    """What the scorer adds up token by token is the product of a text's features with the weights."""
+    rng = np.random.default_rng(4)
+    weights = rng.standard_normal(quality.SPACE)
+    scorer = quality.Scorer(weights)
+    texts = ["", CLEAN, CLEAN.upper() + "!!", "a\na\na b| | cé", "spam " * 50, "x" * 5000]
+    for text in texts:
+        places, values = quality.features(text)
+        z = float((weights[places] * values).sum())
+        assert abs(scorer.score(text) - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-9
+
+
+def test_posteriors_against_brute_force():
+    rng = np.random.default_rng(6)
+    n = len(quality.LABELLERS)
+    combos = np.array([[int(x) for x in rng.choice([0, 1, 2], n)] for _ in range(40)])
+    combos[:, 1] = np.where(combos[:, 1] == quality.GOOD, quality.NONE, combos[:, 1])
+    model = quality.fit_label_model(combos @ 3 ** np.arange(n), rng.integers(1, 50, 40))
+    assert model.one_sided.tolist() == [k == 1 for k in range(n)]
+    for row, got in zip(combos, model.posterior(combos), strict=True):
+        p = [1 - model.good, model.good]
+        for c in (0, 1):
+            for k, vote in enumerate(row):
+                if model.one_sided[k]:
+                    p[c] *= model.turnout[k, c] if vote != quality.NONE else 1 - model.turnout[k, c]
+                elif vote != quality.NONE:
+                    p[c] *= model.tables[k, c, vote]
+        assert abs(got - p[1] / (p[0] + p[1])) < 1e-9
+
+
+def test_bad_documents_are_found(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality.op8_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("quality = 0")
+    found, weak, total = got.selectExpr("sum(int(keep = 0))", "sum(int(posterior < 0.5))", "count(*)").first()
+    assert weak >= 0.95 * total and found >= 0.9 * total
