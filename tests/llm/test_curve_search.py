@@ -25,7 +25,7 @@ def test_results(spark, n):
         rows += [(1000 + i, [1.0] * 8) for i in range(150)] + [(2000, None), (2050, [0.0] * 8), (2100, [float("nan")] * 8)]
         rows += [(2150, [1.0, None] * 4), (2200, [float("inf")] * 8), (2250, [1.0]), (None, [1.0] * 8), (2300, [2.0] * 8), (2350, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS curve", "2 AS key")
-    out = curve_search.search(df, df.where("vec_id % 50 = 0"), window=1.0).orderBy("query_id", "rank").collect()
+    out = curve_search.search(df, df.where("vec_id % 50 = 0"), fixed=curve_search.plan(10**6, 1, 10**6)).orderBy("query_id", "rank").collect()
     got = {}
     for r in out:
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -45,12 +45,66 @@ def test_hilbert_neighbours_touch():
     assert (steps == 1).all()
 
 
-def test_narrow_windows_find_structured_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(curve_search, "TILE", 32)
-    monkeypatch.setattr(curve_search, "QUERY_TILE", 4)
-    rng = np.random.default_rng(1)
-    centres = rng.standard_normal((60, 8))
-    data = centres[rng.integers(0, 60, 3000)] + 0.02 * rng.standard_normal((3000, 8))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
-    found = curve_search.search(df, df.where("vec_id % 100 = 0"), window=0.03)
-    assert curve_search.recall(df, found) >= 0.9
+def clustered(n, seed=1, width=16, centres=200):
+    rng = np.random.default_rng(seed)
+    middle = rng.standard_normal((centres, width))
+    return middle[rng.integers(0, centres, n)] + 0.03 * rng.standard_normal((n, width))
+
+
+def frame(spark, data, kind="array<float>"):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], f"vec_id long, embedding {kind}")
+
+
+def test_narrow_windows_find_structured_neighbours(spark):
+    """The default plan on clusters: recall over 0.9 with less than a tenth of all pairs."""
+    df = frame(spark, clustered(20_000))
+    queries = df.where("vec_id % 50 = 0")
+    entries = curve_search.distinct_vectors(df, 6, "<f4")
+    asked = curve_search.distinct_vectors(queries, 1, "<f4")
+    chosen = curve_search.calibrated(entries, asked, 5, "<f4", 16)
+    assert chosen.compared < 0.1 * 20_000
+    assert curve_search.recall(df, curve_search.search(df, queries)) >= 0.9
+
+
+def test_noise_is_searched_exactly(spark):
+    """No order keeps neighbours of isotropic vectors together: the plan is one window of all rows."""
+    rng = np.random.default_rng(2)
+    df = frame(spark, rng.standard_normal((3000, 64)))
+    queries = df.where("vec_id % 50 = 0")
+    found = curve_search.search(df, queries)
+    assert curve_search.recall(df, found) == 1.0 and found.count() == 5 * 60
+
+
+def test_default_plan_against_brute_force(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(1500, 3, 8, 20))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in curve_search.search(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute(rows, lambda i: i % 50 == 0)
+    assert got.keys() == want.keys()
+    for q in got:  # what is found is scored and ordered as it should be
+        assert got[q] == sorted(got[q], key=lambda x: (-x[1], x[0]))
+        assert all(abs(s - dict(brute(rows, lambda i: i == q, len(rows))[q])[i]) < 1e-9 for i, s in got[q][:2])
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in got)
+    assert hits >= 0.9 * 5 * len(want)
+
+
+def test_magnitudes_do_not_matter(spark):
+    rng = np.random.default_rng(5)
+    plain = rng.standard_normal((200, 8))
+    factors = rng.choice([1e200, 1e-200, 1.0, 1e300, 5e-300], 200)
+    got = []
+    for data in (plain, plain * factors[:, None]):
+        df = frame(spark, data, "array<double>")
+        got.append({(r.query_id, r["rank"]): (r.vec_id, r.score) for r in curve_search.search(df, df.where("vec_id % 20 = 0")).collect()})
+    assert {k: v[0] for k, v in got[0].items()} == {k: v[0] for k, v in got[1].items()}
+    assert all(abs(got[0][k][1] - got[1][k][1]) < 1e-12 and abs(got[0][k][1]) <= 1 + 1e-12 for k in got[0])
+
+
+def test_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (1, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = curve_search.search(df, df.where("vec_id = 0")).collect()
+    assert {r.vec_id for r in out} == {1, 2} and len(out) == 4  # each of the two rows has both others
+    assert sorted((r["rank"], r.vec_id) for r in out) == [(1, 1), (1, 2), (2, 1), (2, 2)]
