@@ -6,7 +6,8 @@ characters, scored with its negative rank, so that the library's best-score-firs
 lowest-rank-first merging of the vocabulary. The normaliser is the identity. Nothing is trained.
 
 Defined results: a null text is the empty text; the empty text has no ids and decodes to no bytes;
-columns beside the id and the text are not read; repeated rows give repeated results.
+an empty table gives no rows; columns beside the id and the text are not read; repeated rows give repeated
+results. A text is encoded whole, however long.
 """
 
 from __future__ import annotations
@@ -174,6 +175,23 @@ def decode(df: DataFrame, ranks_path: str | None = None, pattern: str | None = N
     return map_batches(rows, "doc_id long, ids binary, n_tokens long, decoded binary", start)
 
 
+def round_trip(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """:func:`encode` and then :func:`decode`, in one pass, as two would need two Python workers for each core."""
+
+    def start():
+        one = codec(ranks_path, pattern)
+
+        def step(batch):
+            ids = [one.encode(text) for text in batch["text"]]
+            decoded = [one.decode(x) for x in ids]
+            return {"doc_id": batch["doc_id"], "ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": decoded}
+
+        return step
+
+    rows = df.select("doc_id", text_or_empty().alias("text"))
+    return map_batches(rows, "doc_id long, ids binary, n_tokens long, decoded binary", start)
+
+
 def unpack_ids(ids: bytes) -> list[int]:
     return list(struct.unpack(f"<{len(ids) // 4}I", ids))
 
@@ -183,7 +201,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return decode(encode(docs)).select(
+    return round_trip(docs).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

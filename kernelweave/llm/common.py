@@ -71,6 +71,8 @@ def map_batches(
                     out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in target
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        # workers outlive their tasks; what the pool still holds would count against the executor
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -14,7 +14,8 @@ Documents with equal sets share an identity from the start, so copies cost one r
 
 Defined results: null text and text without words have the empty set and are linked with nothing;
 repeated rows and ids are linked as equal texts are; null ids never name a component that has another
-id; further columns are not read.
+id; an empty table gives no rows; further columns are not read, and pass through :func:`first_of_groups`
+whatever their names.
 """
 
 from __future__ import annotations
@@ -34,11 +35,17 @@ from .shingles import Shingler, bitmap, common, folded, mix, set_id
 #: Members and elements that one task takes of a tile or a component before it is dealt out in blocks.
 BLOCK_MEMBERS = 4096
 BLOCK_ELEMENTS = 4_000_000
+#: Members of a tile that go into one row.
+LIST = 4096
+#: Texts in which tiles are counted to find hot ones, how many of these make a tile hot, and parts of a hot tile.
+SAMPLE = 4096
+HOT = 64
+SALTS = 64
 #: Up to this d, keys join two slices.
 SMALL_D = 6
 #: Bits of the filter that spares most texts a third reading; it may only let too many through.
 FILTER_BITS = 1 << 25
-#: Rows of the largest side that is broadcast; beyond, Spark shuffles.
+#: Rows (of two integers) of the largest side that is broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -144,11 +151,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
-def tile_rows(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
-    """tile, set_id for the sets of all texts; a task names equal sets once."""
+def tile_rows(docs: DataFrame, width: int, threshold: Threshold, hot: np.ndarray) -> DataFrame:
+    """tile, salt, set_id for the sets of all texts; a task names equal sets once. Only ``hot`` (sorted) tiles are salted."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def start():
-        shingler, seen = Shingler(width), set()
+        shingler, seen, hot = Shingler(width), set(), shared.value
 
         def step(batch):
             tiles, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -158,58 +166,84 @@ def tile_rows(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
                     seen.add(own)
                     tiles.append(keys(tokens, threshold))
                     owners.append(np.full(len(tiles[-1]), own))
-            return {
-                "tile": pa.array(np.concatenate(tiles).view(np.int64)),
-                "set_id": pa.array(np.concatenate(owners)),
-            }
+            tile, owner = np.concatenate(tiles).view(np.int64), np.concatenate(owners)
+            salt = np.where(_in(tile, hot), owner & (SALTS - 1), 0).astype(np.int32)
+            return {"tile": pa.array(tile), "salt": pa.array(salt), "set_id": pa.array(owner)}
 
         return step
 
-    return map_batches(docs.select(text_or_empty().alias("text")), "tile long, set_id long", start)
+    return map_batches(docs.select(text_or_empty().alias("text")), "tile long, salt int, set_id long", start)
 
 
-def shared_tiles(rows: DataFrame) -> DataFrame:
-    """members: the distinct sorted lists of sets that share a tile."""
+def _in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    if not len(among):
+        return np.zeros(len(values), bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
-    def run(batches):
-        tile, held = None, []  # the last tile, which may go on in the next batch
 
-        def lists(tiles, owners):
-            """Ends at the start of the last tile."""
-            cuts = np.append(0, np.flatnonzero(np.diff(tiles)) + 1)
-            ends = np.append(cuts[1:], len(tiles))
-            for a, b in zip(cuts[ends - cuts > 1].tolist(), ends[ends - cuts > 1].tolist(), strict=True):
-                members = np.unique(owners[a:b])
-                if len(members) > 1:
-                    yield members
+def hot_tiles(docs: DataFrame, width: int, threshold: Threshold, n: int) -> np.ndarray:
+    """Tiles that many of some ``SAMPLE`` of the n texts have. They decide only how rows are dealt out, not which meet."""
+    part = F.pmod(F.xxhash64(text_or_empty(), F.lit(7)), F.lit(max(1, n // SAMPLE)))
+    rows = tile_rows(docs.where(part == 0), width, threshold, np.zeros(0, np.int64))
+    often = rows.groupBy("tile").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("tile")
+    return np.sort(often.toArrow()["tile"].to_numpy())  # no more than the sample's tiles / HOT
+
+
+def shared_tiles(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """list, members: the distinct sorted lists of sets that share a tile.
+
+    A tile with more than ``LIST`` members, or a hot one, is a list in several rows, of which none is longer.
+    """
+    shared, most = rows.sparkSession.sparkContext.broadcast(hot), LIST
+
+    def run(batches):
+        hot = shared.value
+        names = ["list", "members"]
+        current, held, large = None, np.zeros(0, np.int64), False  # the last tile, which may go on in the next batch
 
         def packed(found):
-            if found:
-                lengths = np.cumsum([0, *map(len, found)])
-                members = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([members], names=["members"])
+            """From (list or None, members)."""
+            if not found:
+                return
+            lengths = np.cumsum([0, *(len(m) for _, m in found)])
+            members = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([m for _, m in found])))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), members], names=names)
+
+        def closed():
+            if large or len(held) > 1:
+                if len(held):
+                    yield (int(current[0]) if large else None), held
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tiles, owners = (batch.column(k).to_numpy() for k in (0, 1))
-            if tile is not None and tiles[0] != tile:
-                found = list(lists(np.full(sum(map(len, held)), tile), np.concatenate(held)))
-                yield from packed(found)
-                held = []
-            last = int(np.searchsorted(tiles, tiles[-1]))
-            if last == 0:
-                tile, held = tiles[-1], [*held, owners.copy()]
-                continue
-            first = np.concatenate([*held, owners[:last]])
-            own = np.concatenate([np.full(sum(map(len, held)), tiles[0]), tiles[:last]])
-            yield from packed(list(lists(own, first)))
-            tile, held = tiles[-1], [owners[last:].copy()]
-        if tile is not None:
-            yield from packed(list(lists(np.full(sum(map(len, held)), tile), np.concatenate(held))))
-
-    lists = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "members array<long>")
-    return lists.select(F.xxhash64("members").alias("list"), "members").dropDuplicates(["list"])
+            tiles, salts, owners = (batch.column(k).to_numpy() for k in range(3))
+            starts = np.append(0, np.flatnonzero((np.diff(tiles) != 0) | (np.diff(salts) != 0)) + 1)
+            ends = np.append(starts[1:], len(tiles))
+            is_hot = _in(tiles[starts], hot)
+            found = []
+            # a group of one that is complete and not hot shares nothing
+            for k in np.flatnonzero(is_hot | (ends - starts > 1) | (starts == 0) | (ends == len(tiles))).tolist():
+                a, b = starts[k], ends[k]
+                if current != (tiles[a], salts[a]):
+                    found += closed()
+                    current, held, large = (tiles[a], salts[a]), np.zeros(0, np.int64), bool(is_hot[k])
+                fresh = owners[a:b]
+                fresh = fresh[np.append(not len(held) or held[-1] != fresh[0], fresh[1:] != fresh[:-1])]
+                held = np.concatenate([held, fresh])
+                while len(held) > most:
+                    large = True
+                    found.append((int(current[0]), held[:most]))
+                    held = held[most:]
+            yield from packed(found)
+        if current is not None:
+            yield from packed(list(closed()))
+
+    dealt = rows.repartition("tile", "salt").sortWithinPartitions("tile", "salt", "set_id")
+    lists = dealt.mapInArrow(run, "list long, members array<long>")
+    own = F.xxhash64("members")
+    named = lists.select(F.coalesce("list", own).alias("list"), own.alias("part"), "members")
+    return named.dropDuplicates(["list", "part"]).drop("part")
 
 
 def blocks(members: DataFrame, key: str, weight: str) -> DataFrame:
@@ -372,7 +406,8 @@ def join(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold()) ->
     by_set = durable(
         by_set.agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     )
-    lists = shared_tiles(tile_rows(docs, width, threshold))
+    hot = hot_tiles(docs, width, threshold, known.count())
+    lists = shared_tiles(tile_rows(docs, width, threshold, hot), hot)
     found = durable(candidates(durable(lists), by_set.select("set_id", "n", "bitmap"), threshold))
     linked = components(durable(links(docs, by_set.select("set_id", "text_key"), found, width, threshold)))
     root = F.coalesce("root", "set_id")
@@ -397,19 +432,21 @@ def first_of_groups(docs: DataFrame, width: int = 5, threshold: Threshold = Thre
     gone = grouped.where(place != F.col("first")).select("doc_id", "text_key").distinct()
     stays = grouped.where(place == F.col("first")).groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
     again = durable(stays.where("n > 1").select("doc_id", "text_key"))
-    keyed = docs.withColumn("__text_key", F.xxhash64(text_or_empty()))
+    own = "text_key"
+    while own in docs.columns:
+        own += "_"
+    keyed = docs.withColumn(own, F.xxhash64(text_or_empty()))
 
     def without(rows, taken, how="left_anti"):
         taken = durable(taken)
         taken = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
-        taken = taken.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-        return rows.join(taken, rows["doc_id"].eqNullSafe(taken["__id"]) & (rows["__text_key"] == taken["__key"]), how)
+        return rows.join(taken, rows["doc_id"].eqNullSafe(taken["doc_id"]) & (rows[own] == taken["text_key"]), how)
 
     kept = without(keyed, gone)
     if again.count():
-        once = without(kept, again, "left_semi").dropDuplicates(["doc_id", "__text_key"])
+        once = without(kept, again, "left_semi").dropDuplicates(["doc_id", own])
         kept = without(kept, again).unionByName(once)
-    return kept.drop("__text_key")
+    return kept.select(*docs.columns)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

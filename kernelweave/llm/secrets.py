@@ -33,15 +33,17 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, text_or_empty
+from .common import map_batches, pieces, table, text_or_empty
 
 PIECE = 1 << 22
 OVERLAP = 1 << 18
 CHUNK = 1 << 20  # bytes inflated at a time
 HEAD = 4096  # bytes by which streams are told apart
+ROWS = 512
 KINDS = ("assign", "access", "hex")
 REDACTED = "[REDACTED]"
 
@@ -440,17 +442,17 @@ def scan(df: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The same rows and columns; texts with findings have them blotted out. Null texts stay null."""
-    from pyspark.sql.types import StringType
+    """The same rows and columns; texts with findings have them blotted out, and ``n_chars`` follows. Null texts stay null."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    place = docs.columns.index("text")
 
-    if not isinstance(docs.schema["text"].dataType, StringType):
-        docs = docs.withColumn("text", F.col("text").cast("string"))
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, ROWS):
+                texts = [t if t is None else redact_text(t) for t in piece.column(place).to_pylist()]
+                yield piece.set_column(place, piece.schema.field(place), pa.array(texts, piece.schema.field(place).type))
 
-    @F.pandas_udf("string")
-    def blot(texts):
-        return texts.map(lambda t: t if t is None else redact_text(t))
-
-    out = docs.withColumn("text", blot("text"))
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -65,5 +65,15 @@ def test_query(spark):
         assert got[k].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_one_pass_is_both_operators(spark):
+    rows = [*enumerate(TEXTS), (50, "long text — " * 100_000), (50, "again"), (50, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r.doc_id, bytes(r.ids), r.n_tokens, bytes(r.decoded))
+    got = sorted(map(key, byte_bpe.round_trip(df).collect()))
+    assert got == sorted(map(key, byte_bpe.decode(byte_bpe.encode(df)).collect()))
+    assert sorted(d for _, _, _, d in got) == sorted(t.encode() for _, t in rows)
+    assert {i for k, i, _, _ in got if k == 50 and len(i) > 100} == {packed("long text — " * 100_000)}
+
+
 def test_empty_table(spark):
     assert byte_bpe.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0

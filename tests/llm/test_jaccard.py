@@ -52,6 +52,26 @@ def test_all_links_are_found(spark, monkeypatch, seed, members):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("most,hot", [(3, 1 << 30), (4096, 2), (2, 3)])
+def test_long_and_hot_tiles(spark, monkeypatch, most, hot):
+    monkeypatch.setattr(jaccard, "LIST", most)
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 7)
+    rows = corpus(11)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df).collect())
+    assert got == brute(rows)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    words = [str(rng.randrange(10**6)) for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[2000:])), (3, " ".join(words[:30_000]))]
+    rows += [(4, "x " * 200_000), (5, " ".join([*words[:30_000], *words[35_000:]]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: c for k, (_, c) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1} and got[4][0] == 1 and got[1][0] == 59_997
+
+
 def test_other_width_and_threshold(spark):
     rows, threshold = corpus(9, 150), jaccard.Threshold(80, 100)
     df = spark.createDataFrame(rows, "doc_id long, text string")
