@@ -2,32 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 
 def degree_v(inc: DataFrame) -> DataFrame:
     return inc.groupBy("gid", "vid").agg(F.count("*").alias("deg"))
 
 
+def degrees(inc: DataFrame, vertices: DataFrame) -> DataFrame:
+    """gid, vid, deg of all of ``vertices`` (gid, vid), 0 for those that are in no hyperedge."""
+    return vertices.select("gid", "vid").distinct().join(degree_v(inc), ["gid", "vid"], "left").na.fill(0, ["deg"])
+
+
+def average_degree(inc: DataFrame, vertices: DataFrame) -> DataFrame:
+    """average: memberships over vertices, of the whole collection."""
+    return degrees(inc, vertices).agg(F.round(F.sum("deg") / F.count("*"), 9).alias("average"))
+
+
 def degree_e(inc: DataFrame) -> DataFrame:
     return inc.groupBy("gid", "eid").agg(F.count("*").alias("deg"))
 
 
+def degrees(inc: DataFrame, vertices: DataFrame) -> DataFrame:
+    """gid, vid, deg of all of ``vertices`` (gid, vid), 0 for those that are in no hyperedge."""
+    return vertices.select("gid", "vid").distinct().join(degree_v(inc), ["gid", "vid"], "left").na.fill(0, ["deg"])
+
+
+def average_degree(inc: DataFrame, vertices: DataFrame) -> DataFrame:
+    """average: memberships over vertices, of the whole collection."""
+    return degrees(inc, vertices).agg(F.round(F.sum("deg") / F.count("*"), 9).alias("average"))
+
+
 def dense_labels(df: DataFrame, column: str) -> DataFrame:
-    """``lbl``: 0-based rank of the column's distinct values over the whole collection.
+    """``lbl``: 0-based rank of the column's distinct values over the whole collection."""
+    ranked = numbered(df.select(column).distinct(), "lbl", column)
+    return df.join(ranked.withColumn("lbl", F.col("lbl").cast("int")), column)
+
+
+def paired(inc: DataFrame, ordered: bool = True) -> DataFrame:
+    """gid, eid, size, u, v: the pairs of members of each hyperedge, with u < v or, unless ``ordered``, all of them.
 
-    Only the distinct values are ranked, in one partition; there are as many as there are labels.
+    Members are listed once for each hyperedge, so that pairs come from one shuffle and not from a join.
     """
-    ranked = df.select(column).distinct().withColumn("lbl", F.dense_rank().over(Window.orderBy(column)) - 1)
-    return df.join(ranked, column)
+    lists = inc.groupBy("gid", "eid").agg(F.array_sort(F.collect_set("vid")).alias("m"))
+    rows = lists.select("gid", "eid", F.size("m").alias("size"), "m", F.posexplode("m").alias("at", "u"))
+    # places are 1-based in slice; a length of 0 gives none
+    others = F.slice("m", F.col("at") + 2, F.greatest(F.size("m"), F.lit(1))) if ordered else F.col("m")
+    return rows.select("gid", "eid", "size", "u", F.explode(others).alias("v"))
 
 
 def clique(inc: DataFrame) -> DataFrame:
     """adj(gid, u, v) with u < v: distinct pairs within a hyperedge."""
-    b = inc.withColumnRenamed("vid", "v")
-    pairs = inc.withColumnRenamed("vid", "u").join(b, ["gid", "eid"]).where("u < v")
-    return pairs.select("gid", "u", "v").distinct()
+    return paired(inc).select("gid", "u", "v").distinct()
 
 
 def symmetric(adj: DataFrame) -> DataFrame:
@@ -52,14 +81,13 @@ def overlaps(inc: DataFrame) -> DataFrame:
 
 def cooccurrence(inc: DataFrame) -> DataFrame:
     """gid, u, v with u <= v: the number of hyperedges that hold both."""
-    a, b = inc.withColumnRenamed("vid", "u"), inc.withColumnRenamed("vid", "v")
-    return a.join(b, ["gid", "eid"]).where("u <= v").groupBy("gid", "u", "v").agg(F.count("*").alias("together"))
+    rows = paired(inc, ordered=False).where("u <= v")
+    return rows.groupBy("gid", "u", "v").agg(F.count("*").alias("together"))
 
 
 def directed_line(inc: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices (gid, eid, a, b) for members a before b of an edge, and arcs from (.., a, b) to (.., b, c)."""
-    left, right = inc.withColumnRenamed("vid", "a"), inc.withColumnRenamed("vid", "b")
-    vertices = left.join(right, ["gid", "eid"]).where("a < b")
+    vertices = paired(inc).select("gid", "eid", F.col("u").alias("a"), F.col("v").alias("b"))
     tails = vertices.select("gid", F.col("eid").alias("from_eid"), "a", F.col("b").alias("mid"))
     heads = vertices.select("gid", F.col("eid").alias("to_eid"), F.col("a").alias("mid"), F.col("b").alias("c"))
     return vertices, tails.join(heads, ["gid", "mid"])

@@ -1,10 +1,15 @@
-"""Deterministic hypergraph families as incidence(eid, vid) tables, made by arithmetic on ranges."""
+"""Hypergraph families as incidence(eid, vid) tables, made by arithmetic on ranges; random hypergraphs and collections."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+from random import Random
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 
 def _grid(spark: SparkSession, edges: int, members: int) -> DataFrame:
     return spark.range(edges).select(F.col("id").alias("eid"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(members - 1).cast("long"))).alias("j"))
@@ -54,8 +59,8 @@ def fern(spark: SparkSession, stems: int, own: int) -> DataFrame:
 
 def shuffled(inc: DataFrame, seed: int) -> DataFrame:
     """Vertices renumbered in a random order that the seed decides."""
-    order = Window.orderBy(F.xxhash64("vid", F.lit(seed)), "vid")
-    names = inc.select("vid").distinct().select("vid", (F.row_number().over(order) - 1).cast("long").alias("new"))
+    names = inc.select("vid").distinct().withColumn("h", F.xxhash64("vid", F.lit(seed)))
+    names = numbered(names, "new", "h", "vid").select("vid", "new")
     return inc.join(names, "vid").select("eid", F.col("new").alias("vid"))
 
 
@@ -76,29 +81,137 @@ def uniform(spark: SparkSession, graphs: int, vertices: int, edges: int, size: i
     return each.select("gid", "eid", F.explode(F.transform(chosen, lambda x: x["v"])).alias("vid"))
 
 
-def composite(spark: SparkSession, seed: int, kinds: tuple[str, ...] = ("flower", "wheel", "cycle", "chain", "fern", "lattice")) -> tuple[DataFrame, dict]:
-    """A random hypergraph of some of the families linked at random nodes, and which families it has."""
-    import random
-
-    rng = random.Random(seed)
-    target = {k: rng.randint(0, 1) for k in kinds}
-    if not any(target.values()):
-        target[rng.choice(kinds)] = 1
-    out, n, e = None, 0, 0
-    for kind in (k for k in kinds if target[k]):
-        edges, overlap, own = rng.randint(3, 6), rng.randint(1, 3), rng.randint(1, 4)
-        part, n_p, e_p = {
-            "flower": lambda: (flower(spark, edges, overlap, own), edges * own + overlap, edges),
-            "wheel": lambda: (wheel(spark, edges, 1, overlap, own), edges * (own + overlap) + 1, edges),
-            "cycle": lambda: (cycle(spark, edges, overlap, own), edges * (own + overlap), edges),
-            "chain": lambda: (chain(spark, edges, overlap, own), edges * (own + overlap) + overlap, edges),
-            "fern": lambda: (fern(spark, overlap, own), 2 * overlap * own + overlap, 2 * overlap + 1),
-            "lattice": lambda: (lattice(spark, edges), edges * edges, 2 * edges),
-        }[kind]()
-        part = shuffled(part, rng.randrange(1 << 30))
-        if out is None:
-            out, n, e = part, n_p, e_p
-        else:
-            out = linked(out, part, n, e, rng.randrange(n), rng.randrange(n_p))
-            n, e = n + n_p - 1, e + e_p
-    return out, target
+def sweep(spark: SparkSession, kind: str, values: list[int], seed: int = 5) -> dict[int, DataFrame]:
+    """The four collections of a runtime sweep, incidence(gid, eid, vid) by value.
+
+    ``graphs``: so many graphs of 50 vertices and 250 edges; ``vertices``: 500 graphs with five edges a vertex; ``edges``: 500 graphs
+    of 50 vertices; ``size``: 500 graphs of 50 vertices and 50 edges for each of an edge's members. Where no size is
+    swept, sizes fall off from two: half of the edges have two members, a quarter three, and so on.
+    """
+    make = {
+        "graphs": lambda n: falling(spark, n, 50, 250, seed),
+        "vertices": lambda n: falling(spark, 500, n, 5 * n, seed),
+        "edges": lambda n: falling(spark, 500, 50, n, seed),
+        "size": lambda n: uniform(spark, 500, 50, 50 * n, n, seed),
+    }[kind]
+    return {n: make(n) for n in values}
+
+
+def falling(spark: SparkSession, graphs: int, vertices: int, edges: int, seed: int = 5, most: int = 8) -> DataFrame:
+    """Random hypergraphs in which sizes 2, 3, .. up to ``most`` are each half as likely as the one before."""
+    each = spark.range(graphs * edges).select(F.floor(F.col("id") / edges).alias("gid"), (F.col("id") % edges).alias("eid"))
+    bits = F.xxhash64("gid", "eid", F.lit(seed), F.lit("size"))
+    size = F.lit(min(most, vertices))
+    for k in range(min(most, vertices) - 1, 1, -1):
+        ones = (1 << (k - 1)) - 1
+        size = F.when(bits.bitwiseAND(ones) == (ones >> 1), k).otherwise(size)
+    ranks = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(vertices - 1).cast("long")), lambda v: F.struct(F.xxhash64("gid", "eid", v, F.lit(seed)).alias("h"), v.alias("v")))
+    chosen = F.slice(F.array_sort(ranks), F.lit(1), F.col("size"))
+    return each.withColumn("size", size).select("gid", "eid", F.explode(F.transform(chosen, lambda x: x["v"])).alias("vid"))
+
+
+# -- collections of small random composites, one graph a row --------------------------------------------
+
+
+@dataclass
+class Small:
+    """A hypergraph as the driver or one task holds it."""
+
+    n: int
+    edges: list[list[int]]
+
+    def shuffled(self, rng: Random) -> Small:
+        names = list(range(self.n))
+        rng.shuffle(names)
+        return Small(self.n, [[names[v] for v in e] for e in self.edges])
+
+    def linked(self, other: Small, rng: Random) -> Small:
+        """Both, with a random vertex of the other being one of this."""
+        own, its = rng.randrange(self.n), rng.randrange(other.n)
+        name = lambda v: own if v == its else v + self.n - (v > its)
+        return Small(self.n + other.n - 1, self.edges + [[name(v) for v in e] for e in other.edges])
+
+
+def small(kind: str, *sizes: int) -> Small:
+    """The family members that the functions above make, by the same arithmetic."""
+    if kind == "flower":
+        edges, centre, own = sizes
+        middle = list(range(edges * own, edges * own + centre))
+        return Small(edges * own + centre, [list(range(e * own, (e + 1) * own)) + middle for e in range(edges)])
+    if kind in ("cycle", "wheel"):
+        edges, *centre, overlap, own = sizes
+        n = edges * (own + overlap)
+        middle = list(range(n, n + sum(centre)))
+        arcs = [list(dict.fromkeys((e * (own + overlap) + j) % n for j in range(own + 2 * overlap))) for e in range(edges)]
+        return Small(n + sum(centre), [a + middle for a in arcs])
+    if kind == "chain":
+        edges, overlap, own = sizes
+        return Small(edges * (own + overlap) + overlap, [[e * (own + overlap) + j for j in range(own + 2 * overlap)] for e in range(edges)])
+    if kind == "fern":
+        stems, own = sizes
+        first = 2 * stems * own
+        leaves = [[(e // 2 + e % 2 * stems) * own + j for j in range(own)] + [first + e // 2] for e in range(2 * stems)]
+        return Small(first + stems, [*leaves, list(range(first, first + stems))])
+    (side,) = sizes
+    rows = [[i * side + j for j in range(side)] for i in range(side)]
+    return Small(side * side, rows + [list(c) for c in zip(*rows)])
+
+
+#: Least and greatest of each parameter that a random member of a family has.
+RANGES = {
+    "flower": ((3, 8), (1, 6), (1, 6)),
+    "wheel": ((3, 8), (1, 6), (1, 4), (1, 4)),
+    "cycle": ((3, 8), (1, 3), (1, 3)),
+    "chain": ((3, 8), (1, 3), (1, 3)),
+    "fern": ((1, 7), (1, 4)),
+    "lattice": ((2, 5),),
+}
+
+
+def random_composite(rng: Random, mode: str = "multi_class") -> tuple[list[int], Small]:
+    """Which families a random hypergraph has (one bit each), and it: all of them linked in turn."""
+    target = [0] * len(RANGES)
+    if mode == "single_class":
+        target[rng.randrange(len(RANGES))] = 1
+    while not any(target):
+        target = [rng.randint(0, 1) for _ in RANGES]
+    out = None
+    for (kind, ranges), bit in zip(RANGES.items(), target, strict=True):
+        if bit:
+            part = small(kind, *(rng.randint(*r) for r in ranges)).shuffled(rng)
+            out = part if out is None else out.linked(part, rng)
+    return target, out
+
+
+def targets(target: list[int]) -> list[int]:
+    return [k for k, bit in enumerate(target) if bit]
+
+
+RECORD = "gid long, num_v int, num_e int, g_lbl array<int>, v_lbl array<array<int>>, edges array<array<int>>"
+
+
+def dataset(spark: SparkSession, n: int, mode: str = "multi_class", seed: int = 5) -> DataFrame:
+    """Records (gid, num_v, num_e, g_lbl, v_lbl, edges) of n random composites, each from a seed of its own."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for gid in batch.column(0).to_pylist():
+                target, g = random_composite(Random(seed * 1_000_003 + gid), mode)
+                rows.append({"gid": gid, "num_v": g.n, "num_e": len(g.edges), "g_lbl": targets(target), "v_lbl": [[0]] * g.n, "edges": g.edges})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(RECORD))
+    return spark.range(n).mapInArrow(run, RECORD)
+
+
+def composite(spark: SparkSession, seed: int, mode: str = "multi_class") -> tuple[DataFrame, list[int]]:
+    """incidence(eid, vid) of one random composite, and which families it has."""
+    target, g = random_composite(Random(seed), mode)
+    rows = [(e, v) for e, members in enumerate(g.edges) for v in members]
+    return spark.createDataFrame(rows, "eid long, vid long"), target

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 
 def gram(a: DataFrame, b: DataFrame | None = None, how: str = "product") -> DataFrame:
     """Inner products, or with ``how='least'`` histogram intersections, of all pairs that share a feature."""
@@ -29,19 +31,68 @@ def normalised(kernel: DataFrame, own_a: DataFrame, own_b: DataFrame) -> DataFra
     return kernel.join(a, "gid_a").join(b, "gid_b").select("gid_a", "gid_b", k.alias("k"))
 
 
-def distances(vectors: DataFrame, p: int) -> DataFrame:
-    """d(gid_a, gid_b): Minkowski distances of vectors(gid, dim, x) in long form, zeros stored."""
-    a = vectors.select(F.col("gid").alias("gid_a"), "dim", F.col("x").alias("xa"))
-    b = vectors.select(F.col("gid").alias("gid_b"), "dim", F.col("x").alias("xb"))
-    total = F.sum(F.pow(F.abs(F.col("xa") - F.col("xb")), p))
-    return a.join(b, "dim").groupBy("gid_a", "gid_b").agg(F.pow(total, 1 / p).alias("d"))
+def distances(
+    vectors: DataFrame, p: int, others: DataFrame | None = None, ids: DataFrame | None = None, other_ids: DataFrame | None = None
+) -> DataFrame:
+    """d(gid_a, gid_b): Minkowski distances of vectors(gid, dim, x) in long form, absent entries being zero.
+
+    Vectors become sparse rows, a block of graphs each, and blocks meet blocks: dense for a block's own dimensions only.
+    With ``others``, from each of ``vectors`` to each of these. ``ids`` and ``other_ids`` (gid) name graphs whose vectors
+    may be all zeros.
+    """
+    left = blocked(vectors, ids)
+    right = left if others is None or others is vectors else blocked(others, other_ids)
+    a = left.select(F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
+    b = right.select(F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
+    kind = dict(vectors.dtypes)["gid"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def dense(rows, at):
+            out = np.zeros((len(rows), len(at)))
+            for k, row in enumerate(rows):
+                for x in row["x"] or ():
+                    out[k, at[x["dim"]]] = x["x"]
+            return out
+
+        for batch in batches:
+            for rows_a, rows_b in zip(batch.column("rows_a").to_pylist(), batch.column("rows_b").to_pylist(), strict=True):
+                dims = sorted({x["dim"] for rows in (rows_a, rows_b) for row in rows for x in row["x"] or ()})
+                at = {d: k for k, d in enumerate(dims)}
+                x, y = dense(rows_a, at), dense(rows_b, at)
+                for i, row in enumerate(rows_a):
+                    apart = np.abs(x[i] - y)
+                    d = apart.sum(axis=1) if p == 1 else np.sqrt((apart**2).sum(axis=1)) if p == 2 else (apart**p).sum(axis=1) ** (1 / p)
+                    n = len(rows_b)
+                    yield pa.RecordBatch.from_pydict({"gid_a": pa.array([row["gid"]] * n), "gid_b": pa.array([r["gid"] for r in rows_b]), "d": pa.array(d)})
+
+    # every block with every block: what a matrix of all distances is
+    return a.crossJoin(b).repartition("block_a", "block_b").mapInArrow(run, f"gid_a {kind}, gid_b {kind}, d double")
+
+
+BLOCK = 64  # graphs
+
+
+def blocked(vectors: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """block, rows: at most a few times ``BLOCK`` sparse vectors, dealt out by a hash of the graph."""
+    each = vectors.groupBy("gid").agg(F.collect_list(F.struct(F.col("dim").cast("string").alias("dim"), F.col("x").cast("double").alias("x"))).alias("x"))
+    if ids is not None:
+        each = ids.select("gid").distinct().join(each, "gid", "left")
+    each = durable(each)
+    blocks = max(1, -(-each.count() // BLOCK))
+    own = F.pmod(F.xxhash64("gid"), F.lit(blocks)).alias("block")
+    return durable(each.groupBy(own).agg(F.collect_list(F.struct("gid", "x")).alias("rows")))
 
 
 def exponential(d: DataFrame, extra: float = 0.0) -> DataFrame:
-    """exp(-d / sigma), sigma the lower median of all distances."""
+    """exp(-d / sigma), sigma the lower median of all distances; where that is 0, 1 for what is equal and 0 for all else."""
+    d = d.withColumn("d", F.round("d", 9))
     sigma = d.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("sigma"))
     scale = F.col("sigma") + extra
-    return d.crossJoin(F.broadcast(sigma)).select("gid_a", "gid_b", F.exp(-F.col("d") / scale).alias("k"))
+    k = F.when(scale > 0, F.exp(-F.col("d") / scale)).otherwise((F.col("d") == 0).cast("double"))
+    return d.crossJoin(F.broadcast(sigma)).select("gid_a", "gid_b", k.alias("k"))
 
 
 def summed(*kernels: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 
 def knn(distances: DataFrame, labels: DataFrame, k: int = 3) -> DataFrame:
     """gid, pred: the commonest label (ties: the smallest) of the k nearest, from d(gid_a, gid_b, d)."""
@@ -30,16 +32,70 @@ def classification_metrics(scored: DataFrame) -> DataFrame:
     )
 
 
-def kfold(ids: DataFrame, folds: int) -> DataFrame:
-    """gid, fold: contiguous parts of a hash order, the first (n mod folds) one larger; set by global ranks of ids only."""
-    ranked = ids.withColumn("r", F.row_number().over(Window.orderBy(F.md5(F.col("gid").cast("string")), "gid")) - 1)
-    n = ids.agg(F.count("*").alias("n"))
+def shuffled(ids: DataFrame, seed: int | None = None) -> DataFrame:
+    """gid, r: 0-based places in an order that a hash, and the seed if given, decide."""
+    text = F.col("gid").cast("string") if seed is None else F.concat_ws(":", F.lit(str(seed)), F.col("gid").cast("string"))
+    return numbered(ids.select("gid").distinct().withColumn("h", F.md5(text)), "r", "h", "gid").select("gid", "r")
+
+
+def kfold(ids: DataFrame, folds: int, seed: int | None = None) -> DataFrame:
+    """gid, fold: contiguous parts of a shuffled order, the first (n mod folds) one larger."""
+    ranked = shuffled(ids, seed)
+    n = ranked.agg(F.count("*").alias("n"))
     small, extra = F.floor(F.col("n") / folds), F.col("n") % folds
     cut = extra * (small + 1)
-    fold = F.when(F.col("r") < cut, F.floor(F.col("r") / (small + 1))).otherwise(extra + F.floor((F.col("r") - cut) / small))
+    fold = F.when(F.col("r") < cut, F.floor(F.col("r") / (small + 1))).otherwise(extra + F.floor((F.col("r") - cut) / F.greatest(small, F.lit(1))))
     return ranked.crossJoin(F.broadcast(n)).select("gid", fold.cast("int").alias("fold"))
 
 
+def train_test(ids: DataFrame, share: float = 0.1, seed: int | None = None) -> DataFrame:
+    """gid, test: the first ``share`` of a shuffled order, rounded up."""
+    ranked = shuffled(ids, seed)
+    n = ranked.agg(F.ceil(F.count("*") * share - 1e-9).alias("n"))
+    return ranked.crossJoin(F.broadcast(n)).select("gid", (F.col("r") < F.col("n")).alias("test"))
+
+
+def nearest(train: DataFrame, test: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """gid_a, gid_b, d: the k nearest of ``train`` for each of ``test``, both (gid, x array<double>), by Euclidean distance.
+
+    Distances are rounded to six decimals and ties go to the smaller id. Blocks of both sides meet as matrices, and
+    only the k best of each block go on.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def blocks(rows, name):
+        n = max(1, -(-rows.count() // block))
+        own = F.pmod(F.xxhash64("gid"), F.lit(n)).alias(f"block_{name}")
+        return rows.groupBy(own).agg(F.collect_list("gid").alias(f"gid_{name}"), F.collect_list("x").alias(f"x_{name}"))
+
+    def run(batches):
+        for batch in batches:
+            for a, xa, b, xb in zip(*(batch.column(c).to_pylist() for c in ("gid_a", "x_a", "gid_b", "x_b")), strict=True):
+                order = np.argsort(b, kind="stable")
+                ids, others = np.array(b)[order], np.array(xb, float)[order]
+                squares = (others**2).sum(axis=1)
+                take = min(k, len(ids))
+                out = []
+                for start in range(0, len(a), 256):
+                    mine = np.array(xa[start : start + 256], float)
+                    rough = squares[None, :] - 2 * mine @ others.T + (mine**2).sum(axis=1)[:, None]
+                    most = np.partition(rough, take - 1, axis=1)[:, take - 1] + 1e-5
+                    for i, row in enumerate(rough):
+                        near = np.flatnonzero(row <= most[i] + 1e-9 * abs(most[i]))
+                        d = np.round(np.sqrt(((others[near] - mine[i]) ** 2).sum(axis=1)), 6)
+                        best = np.lexsort((ids[near], d))[:take]
+                        out += [(a[start + i], int(ids[near[j]]), float(d[j])) for j in best]
+                gid_a, gid_b, d = zip(*out, strict=True)
+                yield pa.RecordBatch.from_pydict({"gid_a": pa.array(gid_a, pa.int64()), "gid_b": pa.array(gid_b, pa.int64()), "d": pa.array(d)})
+
+    # the stated queries against all rows, in blocks
+    met = blocks(test, "a").crossJoin(blocks(train, "b")).repartition("block_a", "block_b")
+    found = met.select("gid_a", "x_a", "gid_b", "x_b").mapInArrow(run, "gid_a long, gid_b long, d double")
+    place = F.row_number().over(Window.partitionBy("gid_a").orderBy("d", "gid_b"))
+    return found.withColumn("r", place).where(F.col("r") <= k).drop("r")
+
+
 def hamming_loss(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.round(F.avg((F.col("a") != F.col("b")).cast("double")), 9).alias("loss"))
 
@@ -71,7 +127,75 @@ def normalized_mutual_info(pairs: DataFrame) -> DataFrame:
 
 
 def multilabel_metrics(rows: DataFrame) -> DataFrame:
-    """Exact matches and share of right labels, from (truth, pred) as arrays of 0 and 1."""
-    right = F.aggregate(F.zip_with("truth", "pred", lambda a, b: (a == b).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    exact = F.avg((F.col("truth") == F.col("pred")).cast("double"))
-    return rows.agg(F.round(exact, 9).alias("exact_match"), F.round(F.avg(right / F.size("truth")), 9).alias("accuracy"))
+    """Exact matches, and the means of |both| / |either| and of |both| / |guessed|, from (truth, pred) as arrays of 0 and 1.
+
+    A row without any label has no accuracy, as 0 / 0 is none; a row without a guess has precision 0.
+    """
+    count = lambda f: F.aggregate(F.zip_with("truth", "pred", f), F.lit(0.0), lambda s, x: s + x)
+    both = count(lambda a, b: ((a == 1) & (b == 1)).cast("double"))
+    either = count(lambda a, b: ((a == 1) | (b == 1)).cast("double"))
+    guessed = count(lambda a, b: (b == 1).cast("double"))
+    return rows.agg(
+        F.round(F.avg((F.col("truth") == F.col("pred")).cast("double")), 9).alias("exact_match"),
+        F.round(F.avg(F.when(either > 0, both / either)), 9).alias("accuracy"),
+        F.round(F.avg(F.when(guessed > 0, both / guessed).otherwise(0.0)), 9).alias("precision"),
+    )
+
+
+def class_accuracies(scored: DataFrame) -> DataFrame:
+    """y, hits, total, accuracy of each true class of (y, pred)."""
+    hit = (F.col("y") == F.col("pred")).cast("long")
+    out = scored.groupBy("y").agg(F.sum(hit).alias("hits"), F.count("*").alias("total"))
+    return out.withColumn("accuracy", F.round(F.col("hits") / F.col("total"), 9))
+
+
+def silhouette(distances: DataFrame, clusters: DataFrame) -> DataFrame:
+    """silhouette: mean of (b - a) / max(a, b), a and b being a row's mean distances to its own and to the nearest other cluster.
+
+    ``distances``: d(gid_a, gid_b, d) of all pairs; ``clusters``: (gid, cluster). A cluster's only row counts 0.
+    """
+    own = clusters.select(F.col("gid").alias("gid_a"), F.col("cluster").alias("ca"))
+    other = clusters.select(F.col("gid").alias("gid_b"), F.col("cluster").alias("cb"))
+    rows = distances.where("gid_a != gid_b").join(own, "gid_a").join(other, "gid_b").groupBy("gid_a", "ca", "cb").agg(F.avg("d").alias("m"))
+    a, b = F.max(F.when(F.col("ca") == F.col("cb"), F.col("m"))), F.min(F.when(F.col("ca") != F.col("cb"), F.col("m")))
+    each = rows.groupBy("gid_a").agg(a.alias("a"), b.alias("b"))
+    largest = F.greatest("a", "b")
+    value = F.when(F.col("a").isNull() | (largest == 0), 0.0).otherwise((F.col("b") - F.col("a")) / largest)
+    return each.agg(F.round(F.avg(value), 6).alias("silhouette"))
+
+
+def _centres(vectors: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = vectors.join(clusters, "gid")
+    return rows, rows.groupBy("cluster", "dim").agg(F.avg("x").alias("c"))
+
+
+def davies_bouldin(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
+    """davies_bouldin: mean over clusters of the worst (spread + spread) / distance of centres. vectors(gid, dim, x), zeros stored."""
+    rows, centres = _centres(vectors, clusters)
+    apart = rows.join(centres, ["cluster", "dim"]).groupBy("cluster", "gid").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("c"), 2))).alias("d"))
+    spread = apart.groupBy("cluster").agg(F.avg("d").alias("s"))
+    a, b = (centres.select(F.col("cluster").alias(f"c{k}"), "dim", F.col("c").alias(f"x{k}")) for k in "ab")
+    between = a.join(b, "dim").where("ca != cb").groupBy("ca", "cb").agg(F.sqrt(F.sum(F.pow(F.col("xa") - F.col("xb"), 2))).alias("m"))
+    sa, sb = (spread.select(F.col("cluster").alias(f"c{k}"), F.col("s").alias(f"s{k}")) for k in "ab")
+    ratio = F.when(F.col("m") > 0, (F.col("sa") + F.col("sb")) / F.col("m")).otherwise(0.0)
+    worst = between.join(sa, "ca").join(sb, "cb").groupBy("ca").agg(F.max(ratio).alias("r"))
+    return worst.agg(F.round(F.avg("r"), 6).alias("davies_bouldin"))
+
+
+def calinski_harabasz(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
+    """calinski_harabasz: between- over within-cluster dispersion, each by its degrees of freedom. vectors(gid, dim, x), zeros stored."""
+    rows, centres = _centres(vectors, clusters)
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("all"), F.count("*").alias("k"))
+    middle = rows.groupBy("dim").agg(F.avg("x").alias("m"))
+    between = centres.join(middle, "dim").join(sizes, "cluster").agg(F.sum(F.col("n") * F.pow(F.col("c") - F.col("m"), 2)).alias("b"))
+    within = rows.join(centres, ["cluster", "dim"]).agg(F.sum(F.pow(F.col("x") - F.col("c"), 2)).alias("w"))
+    both = between.crossJoin(within).crossJoin(total)  # one row each
+    value = F.when(F.col("w") > 0, F.col("b") * (F.col("all") - F.col("k")) / (F.col("w") * (F.col("k") - 1))).otherwise(1.0)
+    return both.select(F.round(value, 6).alias("calinski_harabasz"))
+
+
+def regression_errors(rows: DataFrame) -> DataFrame:
+    """mse and mae of (y, pred)."""
+    e = F.col("y") - F.col("pred")
+    return rows.agg(F.round(F.avg(e * e), 9).alias("mse"), F.round(F.avg(F.abs(e)), 9).alias("mae"))

@@ -1,85 +1,177 @@
-"""Refinements beyond plain hashing: numeric sums of ids, early stopping, pairs, line graphs."""
+"""Refinements that need more than a label's own graph: numeric sums of ids, early stopping; and those of
+pairs, of directed lines, of both for an isomorphism test."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .convert import degree_e, degree_v, directed_line, symmetric
-from .refine import code, gathered, histogram, hypergraph_wl, initial
+from .common import durable, numbered
+from .convert import symmetric
+from .refine import around, code, counted, edge_first, graph_start, histogram, hypergraph_wl, listed, members, relabelled, start, to_edges, to_vertices
+from .walks import cooccurrence_traces
+
+
+@dataclass
+class Dictionary:
+    """What a fit has learned, step by step: ids of labels, or the labels that go on."""
+
+    steps: list[DataFrame] = field(default_factory=list)
+    size: int = 0
 
 
-def sum_wl(inc: DataFrame) -> DataFrame:
-    """features of one round in which a label is joined with the sum of its neighbours' numeric labels.
+def _encoded(rows: DataFrame, label: list[str], order: list[str], fitted: Dictionary, known: DataFrame | None) -> DataFrame:
+    """The rows with ``id``: the number of the label among all, first seen first; -1 for labels a fit has not seen."""
+    if known is None:
+        seen = rows.groupBy(*[F.col(c).alias(f"known_{c}") for c in label]).agg(F.min(F.struct(*order)).alias("seen"))
+        ids = numbered(seen, "number", "seen").drop("seen")
+        known = durable(ids.withColumn("number", F.col("number") + fitted.size))
+        fitted.size += known.count()
+    fitted.steps.append(known)
+    same = [F.col(c).eqNullSafe(F.col(f"known_{c}")) for c in label]
+    out = rows.join(known, same, "left")
+    return out.select(*[c for c in rows.columns if c not in label], F.coalesce("number", F.lit(-1)).alias("id"))
 
-    Round 0's numbers are the dense ranks of degrees, edges after vertices.
+
+def sum_wl(inc: DataFrame, rounds: int, vertices: DataFrame | None = None, fitted: Dictionary | None = None) -> tuple[DataFrame, Dictionary]:
+    """features of rounds in which a label is joined with the sum of its neighbours' numeric ids, and the dictionary.
+
+    Edges are refined first, then vertices by them. Ids count labels in the order in which they are seen: vertices by
+    (gid, vid), then edges by (gid, eid), going on from round to round. With ``fitted``, labels not seen then are -1.
     """
-    v0 = degree_v(inc)
-    e0 = degree_e(inc)
-    known = v0.select(F.lit(0).alias("kind"), "deg").distinct().unionByName(e0.select(F.lit(1).alias("kind"), "deg").distinct())
-    # as many rows as there are degrees
-    ids = known.withColumn("id", F.row_number().over(Window.orderBy("kind", "deg")).cast("long") - 1)
-    v = v0.join(ids.where("kind = 0"), "deg").select("gid", "vid", "id")
-    e = e0.join(ids.where("kind = 1"), "deg").select("gid", "eid", F.col("id").alias("eid_label"))
-    near = inc.join(e, ["gid", "eid"]).groupBy("gid", "vid").agg(F.sum("eid_label").alias("s"))
-    first = v.select("gid", F.col("id").cast("string").alias("lbl"))
-    second = v.join(near, ["gid", "vid"]).select("gid", F.concat_ws("+", "id", "s").alias("lbl"))
-    return histogram(first).unionByName(histogram(second))
-
-
-def early_stopping_wl(inc: DataFrame, rounds: int, threshold: int) -> DataFrame:
-    """As hypergraph WL, but vertices whose label is rarer than ``threshold`` keep it from then on."""
-    v, e = initial(inc)
-    out = histogram(v)
+    new, at = Dictionary(), iter(fitted.steps if fitted else ())
+    known = lambda: next(at) if fitted else None
+    inc = durable(inc.select("gid", "eid", "vid"))
+    own = start(inc, vertices).select("gid", "vid", "lbl")
+    v = durable(_encoded(own, ["lbl"], ["gid", "vid"], new, known()))
+    sizes = inc.groupBy("gid", "eid").agg(F.count("*").alias("lbl"))
+    e = durable(_encoded(sizes, ["lbl"], ["gid", "eid"], new, known()))
+    out = v.select("gid", F.col("id").alias("lbl"))
     for _ in range(rounds):
-        common = v.groupBy("lbl").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("lbl", F.lit(True).alias("common"))
-        members = inc.join(v, ["gid", "vid"]).groupBy("gid", "eid").agg(gathered("lbl").alias("near"))
-        e = e.join(members, ["gid", "eid"]).select("gid", "eid", code("e", "elbl", "near").alias("elbl"))
-        around = inc.join(e, ["gid", "eid"]).groupBy("gid", "vid").agg(gathered("elbl").alias("near"))
-        fresh = v.join(around, ["gid", "vid"]).join(common, "lbl", "left")
-        new = F.when(F.col("common"), code("v", "lbl", "near")).otherwise(F.col("lbl"))
-        v = fresh.select("gid", "vid", new.alias("lbl"))
-        out = out.unionByName(histogram(v))
-    return out
-
-
-def two_wl(adj: DataFrame) -> DataFrame:
-    """features of ordered vertex pairs: equal, adjacent or neither; then with the sorted labels of neighbour pairs."""
-    both = symmetric(adj)
-    vertices = both.select("gid", "u").distinct()
-    pairs = vertices.join(vertices.withColumnRenamed("u", "v"), "gid")
-    edge = both.withColumn("adjacent", F.lit(1))
-    kind = F.when(F.col("u") == F.col("v"), "same").when(F.col("adjacent") == 1, "near").otherwise("far")
-    p = pairs.join(edge, ["gid", "u", "v"], "left").select("gid", "u", "v", kind.alias("lbl"))
+        sums = inc.join(v, ["gid", "vid"]).groupBy("gid", "eid").agg(F.sum("id").alias("s"))
+        e = e.withColumnRenamed("id", "own").join(sums, ["gid", "eid"])
+        e = durable(_encoded(e, ["own", "s"], ["gid", "eid"], new, known()))
+        sums = inc.join(e, ["gid", "eid"]).groupBy("gid", "vid").agg(F.sum("id").alias("s"))
+        v = v.withColumnRenamed("id", "own").join(sums, ["gid", "vid"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
+        v = durable(_encoded(v, ["own", "s"], ["gid", "vid"], new, known()))
+        out = out.unionByName(v.select("gid", F.col("id").alias("lbl")))
+    counted_ids = histogram(out.where("lbl >= 0")).withColumn("fid", F.col("fid").cast("string"))
+    return counted_ids, fitted or new
+
+
+def _often(rows: DataFrame, column: str, threshold: int) -> DataFrame:
+    often = rows.groupBy(column).agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
+    return durable(often.select(F.col(column).alias("often")))
+
+
+def _unless_rare(rows: DataFrame, column: str, often: DataFrame | None, label: Column) -> DataFrame:
+    """The rows with ``new``: the label, or that of a copy where the old one is rare."""
+    if often is None:
+        return rows.withColumn("new", label)
+    rows = rows.join(often, F.col(column) == F.col("often"), "left")
+    return rows.withColumn("new", F.when(F.col("often").isNotNull(), label).otherwise(code("f", column))).drop("often")
+
+
+def early_stopping_wl(
+    inc: DataFrame, rounds: int, threshold: int, vertices: DataFrame | None = None, fitted: Dictionary | None = None
+) -> tuple[DataFrame, Dictionary]:
+    """features of :func:`hypergraph_wl` with two rules, and which labels were common in each round.
+
+    From the second round on, a vertex or hyperedge whose label is rarer than ``threshold`` in the whole collection is not
+    refined; it has a copy of its label, one for each round. The rounds end after one that brings no common label of
+    vertices. With ``fitted``, rare is what was rare then, and there are as many rounds.
+    """
+    new, at = Dictionary(), iter(fitted.steps if fitted else ())
+    v = durable(start(inc, vertices))
+    first = 0 if fitted else _often(v, "lbl", threshold).count()
+    often_v = often_e = None
+    for r in range(len(fitted.steps) // 2 if fitted else rounds):
+        e = _unless_rare(to_edges(v), "elbl", often_e, code("e", "elbl", members()))
+        label = F.when(F.col("eid").isNotNull(), F.col("new"))
+        v = to_vertices(e.select("gid", "eid", label.alias("elbl"), "m"))
+        v = _unless_rare(v, "lbl", often_v, code("v", "lbl", around()))
+        v = durable(relabelled(v, F.col("new")))
+        if fitted:
+            often_v, often_e = next(at), next(at)
+            continue
+        edges = v.select("gid", F.explode("edges").alias("x")).select("gid", "x.eid", "x.elbl").distinct()
+        often_v, often_e = _often(v, "lbl", threshold), _often(edges, "elbl", threshold)
+        new.steps += [often_v, often_e]
+        if often_v.count() + (first if r == 0 else 0) == 0:
+            break
+    return counted(v), fitted or new
+
+
+def two_wl(adj: DataFrame, rounds: int, vertices: DataFrame | None = None) -> DataFrame:
+    """features of pairs of vertices: their two labels, refined by those of all pairs of a neighbour of each.
+
+    All ordered pairs count in round 0, with the smaller label first, so that ids do not matter; pairs without
+    order in rounds 1..rounds. A pair's neighbours are counted label by label, first over the one vertex's neighbours, then
+    over the other's, instead of being listed.
+    """
+    both = durable(symmetric(adj))
+    v = graph_start(adj, vertices).select("gid", "vid", "lbl")
+    a, b = (v.select("gid", F.col("vid").alias(i), F.col("lbl").alias(x)) for i, x in (("u", "lu"), ("v", "lv")))
+    label = code("p", F.least("lu", "lv"), F.greatest("lu", "lv"))
+    # within a graph, all pairs are what this refinement is of
+    p = durable(a.join(b, "gid").select("gid", "u", "v", label.alias("lbl")))
+    out = [histogram(p)]
     left = both.select("gid", "u", F.col("v").alias("a"))
     right = both.select("gid", F.col("u").alias("v"), F.col("v").alias("b"))
-    inner = p.select("gid", F.col("u").alias("a"), F.col("v").alias("b"), F.col("lbl").alias("inner"))
-    # counts instead of lists: only three labels exist
-    near = left.join(inner, ["gid", "a"]).join(right, ["gid", "b"]).groupBy("gid", "u", "v", "inner").agg(F.count("*").alias("n"))
-    near = near.groupBy("gid", "u", "v").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "inner", F.col("n").cast("string")))), ",").alias("near"))
-    refined = p.join(near, ["gid", "u", "v"]).select("gid", code("p", "lbl", "near").alias("lbl"))
-    return histogram(p).unionByName(histogram(refined))
-
-
-def directed_line_wl(inc: DataFrame) -> DataFrame:
-    """features of the directed line graph's vertices, one round over in- and one over out-neighbours, kept apart."""
-    vertices, arcs = directed_line(inc)
-    size = degree_e(inc)
-    own = vertices.join(size, ["gid", "eid"]).select("gid", "eid", "a", "b", code("l", F.col("deg").cast("string")).alias("lbl"))
-    out = histogram(own)
-    tails = own.select("gid", F.col("eid").alias("from_eid"), "a", F.col("b").alias("mid"), F.col("lbl").alias("tail"))
-    heads = own.select("gid", F.col("eid").alias("to_eid"), F.col("a").alias("mid"), F.col("b").alias("c"), F.col("lbl").alias("head"))
-    joined = arcs.join(tails, ["gid", "from_eid", "a", "mid"]).join(heads, ["gid", "to_eid", "mid", "c"])
-    into = joined.groupBy("gid", "to_eid", "mid", "c", "head").agg(gathered("tail").alias("near"))
-    out_of = joined.groupBy("gid", "from_eid", "a", "mid", "tail").agg(gathered("head").alias("near"))
-    ins = into.select("gid", code("in", "head", "near").alias("lbl"))
-    outs = out_of.select("gid", code("out", "tail", "near").alias("lbl"))
-    return out.unionByName(histogram(ins)).unionByName(histogram(outs))
-
-
-def isomorphic(a: DataFrame, b: DataFrame, rounds: int = 2) -> bool:
-    """Whether label counts of all rounds agree for the two hypergraphs; False proves that they differ."""
-    left = hypergraph_wl(a, rounds).groupBy("fid").agg(F.sum("cnt").alias("x"))
-    right = hypergraph_wl(b, rounds).groupBy("fid").agg(F.sum("cnt").alias("y"))
-    apart = left.join(right, "fid", "full").where(~F.col("x").eqNullSafe(F.col("y")))
-    return apart.isEmpty()
+    for _ in range(rounds):
+        inner = p.select("gid", F.col("u").alias("a"), F.col("v").alias("b"), F.col("lbl").alias("x"))
+        half = left.join(inner, ["gid", "a"]).groupBy("gid", "u", "b", "x").agg(F.count("*").alias("n"))
+        near = half.join(right, ["gid", "b"]).groupBy("gid", "u", "v", "x").agg(F.sum("n").alias("n"))
+        lists = near.groupBy("gid", "u", "v").agg(listed(F.collect_list(F.concat_ws(":", "x", F.col("n").cast("string")))).alias("near"))
+        refined = code("p", "lbl", F.coalesce("near", F.lit("")))
+        p = durable(p.join(lists, ["gid", "u", "v"], "left").select("gid", "u", "v", refined.alias("lbl")))
+        out.append(histogram(p.where("u <= v")))
+    total = out[0]
+    for more in out[1:]:
+        total = total.unionByName(more)
+    return total
+
+
+def directed_line_wl(inc: DataFrame, rounds: int) -> DataFrame:
+    """features of the directed line graph's vertices, refined by in- and, apart from that, by out-neighbours.
+
+    A line (a, b) has all lines that end in a as its in-neighbours, so their labels are listed once for a and not for
+    each arc. Round 0, the size of the hyperedge, counts on both sides.
+    """
+    edges = edge_first(inc).groupBy("gid", "eid", "elbl").agg(F.array_sort(F.collect_list("vid")).alias("m"))
+    rows = edges.select("gid", "eid", "elbl", "m", F.posexplode("m").alias("pos", "a"))
+    rows = rows.select("gid", "eid", "elbl", "a", F.explode(F.slice("m", F.col("pos") + 2, F.greatest(F.size("m"), F.lit(1)))).alias("b"))
+    line = rows.select("gid", "eid", "a", "b", code("l", "elbl").alias("lbl"))
+    return _lines(line, rounds, "in").unionByName(_lines(line, rounds, "out"))
+
+
+def _lines(line: DataFrame, rounds: int, side: str) -> DataFrame:
+    sends, gets = ("b", "a") if side == "in" else ("a", "b")
+    line = line.withColumn("bag", F.array(F.concat(F.lit(f"{side}:"), "lbl")))
+    for _ in range(rounds):
+        own = F.struct("eid", "a", "b", "lbl", "bag")
+        each = F.array(F.struct(F.col(sends).alias("at"), F.lit(True).alias("sends"), own.alias("own")), F.struct(F.col(gets).alias("at"), F.lit(False).alias("sends"), own.alias("own")))
+        rows = line.select("gid", F.explode(each).alias("x")).select("gid", "x.*")
+        sent = F.when(F.col("sends"), F.col("own.lbl"))
+        met = rows.groupBy("gid", "at").agg(F.collect_list(sent).alias("sent"), F.collect_list(F.when(~F.col("sends"), F.col("own"))).alias("got"))
+        # listed before the rows part, or else it would be made for each of them
+        met = met.select("gid", listed(F.col("sent")).alias("near"), "got")
+        met = met.select("gid", "near", F.explode("got").alias("own")).select("gid", "near", "own.*")
+        met = met.withColumn("new", code(side, "lbl", "near"))
+        line = met.select("gid", "eid", "a", "b", F.col("new").alias("lbl"), F.array_append("bag", F.concat(F.lit(f"{side}:"), "new")).alias("bag"))
+    return counted(line)
+
+
+def isomorphic(a: DataFrame, b: DataFrame, rounds: int = 2, steps: int = 5, trees: bool = True, cycles: bool = True) -> bool:
+    """Whether label counts of all rounds, and traces of the powers 1..steps of H H^T, agree; False proves that they differ."""
+
+    def same(left: DataFrame, right: DataFrame, key: str, value: str) -> bool:
+        x = left.groupBy(key).agg(F.sum(value).alias("x"))
+        y = right.groupBy(key).agg(F.sum(value).alias("y"))
+        return x.join(y, key, "full").where(~F.col("x").eqNullSafe(F.col("y"))).isEmpty()
+
+    if trees and not same(hypergraph_wl(a, rounds), hypergraph_wl(b, rounds), "fid", "cnt"):
+        return False
+    return not cycles or same(cooccurrence_traces(a, steps), cooccurrence_traces(b, steps), "step", "trace")

@@ -1,21 +1,35 @@
-"""Soft hyperedge weights and the walks that use them; expected counts of walks over hyperedge sizes."""
+"""Soft hyperedge weights and the walks that use them; walks over hyperedge sizes, expected and sampled."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .convert import degree_e, degree_v, overlaps
+from ..functions import minkowski as norm
+from .common import durable
+from .convert import degree_e, degree_v, overlaps, paired
 
+ROOTED_LENGTHS = 4
+ROOTED_WALKS = 20
+OWN_SHARE = 0.2  # of soft weights in the walk's weights
 
-def soft_edge_weights(inc: DataFrame) -> DataFrame:
-    """gid, e1, e2, w for overlapping hyperedges: 1 + [sizes differ] + L1 distance of their members' degree counts."""
-    size = degree_e(inc)
-    labelled = inc.join(degree_v(inc), ["gid", "vid"]).groupBy("gid", "eid", "deg").agg(F.count("*").alias("n"))
+
+def pre_labels(inc: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """gid, eid, elbl, near: a hyperedge's size and its members' sorted labels, degrees unless ``vertices`` (gid, vid, lbl) has others."""
+    labels = degree_v(inc).withColumnRenamed("deg", "lbl") if vertices is None else vertices.select("gid", "vid", "lbl")
+    rows = inc.select("gid", "eid", "vid").join(labels, ["gid", "vid"])
+    return rows.groupBy("gid", "eid").agg(F.count("*").alias("elbl"), F.array_sort(F.collect_list("lbl")).alias("near"))
+
+
+def soft_edge_weights(inc: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """gid, e1, e2, w for overlapping hyperedges, e1 <= e2: 1 + [sizes differ] + L1 distance of their members' label counts."""
+    labels = pre_labels(inc, vertices)
+    size = labels.select("gid", "eid", F.col("elbl").alias("deg"))
+    labelled = labels.select("gid", "eid", F.explode("near").alias("lbl")).groupBy("gid", "eid", "lbl").agg(F.count("*").alias("n"))
     pairs = overlaps(inc).select("gid", "e1", "e2")
-    a = pairs.join(labelled.withColumnRenamed("eid", "e1"), ["gid", "e1"]).select("gid", "e1", "e2", "deg", "n")
-    b = pairs.join(labelled.withColumnRenamed("eid", "e2"), ["gid", "e2"]).select("gid", "e1", "e2", "deg", (-F.col("n")).alias("n"))
-    apart = a.unionByName(b).groupBy("gid", "e1", "e2", "deg").agg(F.abs(F.sum("n")).alias("n"))
+    a = pairs.join(labelled.withColumnRenamed("eid", "e1"), ["gid", "e1"]).select("gid", "e1", "e2", "lbl", "n")
+    b = pairs.join(labelled.withColumnRenamed("eid", "e2"), ["gid", "e2"]).select("gid", "e1", "e2", "lbl", (-F.col("n")).alias("n"))
+    apart = a.unionByName(b).groupBy("gid", "e1", "e2", "lbl").agg(F.abs(F.sum("n")).alias("n"))
     distance = apart.groupBy("gid", "e1", "e2").agg(F.sum("n").alias("distance"))
     s1 = size.select("gid", F.col("eid").alias("e1"), F.col("deg").alias("s1"))
     s2 = size.select("gid", F.col("eid").alias("e2"), F.col("deg").alias("s2"))
@@ -24,15 +38,112 @@ def soft_edge_weights(inc: DataFrame) -> DataFrame:
     return both.select("gid", "e1", "e2", w.alias("w"))
 
 
-def rooted_expected(inc: DataFrame) -> DataFrame:
-    """gid, s1, s2, p: probability that a uniform hyperedge and its random-walk successor have these sizes.
+def minkowski(inc: DataFrame, p: int = 2) -> DataFrame:
+    """gid, e1, e2, d: the p-norm between sorted member labels of overlapping hyperedges of equal size."""
+    labels = pre_labels(inc)
+    a = labels.select("gid", F.col("eid").alias("e1"), F.col("near").alias("x"))
+    b = labels.select("gid", F.col("eid").alias("e2"), F.col("near").alias("y"))
+    pairs = overlaps(inc).select("gid", "e1", "e2").join(a, ["gid", "e1"]).join(b, ["gid", "e2"]).where(F.size("x") == F.size("y"))
+    return pairs.select("gid", "e1", "e2", norm(F.col("x"), F.col("y"), p).alias("d"))
+
+
+def soft_walk(inc: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """P = D_v^-1 H W H^T with W = 0.2 w(e, f) + 0.8 D_e^-1, as (gid, u, v, w)."""
+    w = soft_edge_weights(inc, vertices)
+    mirrored = w.unionByName(w.where("e1 != e2").select("gid", F.col("e2").alias("e1"), F.col("e1").alias("e2"), "w"))
+    size = degree_e(inc).select("gid", F.col("eid").alias("e1"), F.col("deg").alias("size"))
+    own = F.when(F.col("e1") == F.col("e2"), (1 - OWN_SHARE) / F.col("size")).otherwise(F.lit(0.0))
+    mixed = mirrored.join(size, ["gid", "e1"]).select("gid", "e1", "e2", (OWN_SHARE * F.col("w") + own).alias("m"))
+    a, b = inc.select("gid", F.col("eid").alias("e1"), F.col("vid").alias("u")), inc.select("gid", F.col("eid").alias("e2"), F.col("vid").alias("v"))
+    half = a.join(mixed, ["gid", "e1"]).groupBy("gid", "u", "e2").agg(F.sum("m").alias("m"))
+    rows = half.join(b, ["gid", "e2"]).groupBy("gid", "u", "v").agg(F.sum("m").alias("s"))
+    dv = degree_v(inc).withColumnsRenamed({"vid": "u", "deg": "dv"})
+    return rows.join(dv, ["gid", "u"]).select("gid", "u", "v", (F.col("s") / F.col("dv")).alias("w"))
+
+
+def length_shares(most: int = ROOTED_LENGTHS) -> list[float]:
+    """The share of walks with 1, 2, .. hyperedges: as 2, 4, 8 .."""
+    total = sum(2**i for i in range(1, most + 1))
+    return [2**i / total for i in range(1, most + 1)]
+
+
+def rooted_expected(inc: DataFrame, lengths: int = ROOTED_LENGTHS) -> DataFrame:
+    """gid, length, seq, p: probabilities of the sizes of a walk's hyperedges, for walks of 1..lengths hyperedges.
+
+    A walk starts at a uniform hyperedge. A step picks a member of the hyperedge uniformly, then one of that vertex's
+    hyperedges uniformly. What matters of a walk is the sizes so far and the vertex it goes on from, so these are its
+    state, and hyperedges of one size that join the same two vertices are one transition.
+    """
+    pairs = durable(paired(inc.select("gid", "eid", "vid"), ordered=False).groupBy("gid", "u", "v", "size").agg(F.count("*").alias("n")))
+    size = durable(degree_e(inc).groupBy("gid", F.col("deg").alias("size")).agg(F.count("*").alias("n")))
+    total = size.groupBy("gid").agg(F.sum("n").alias("m"))
+    seen = pairs.where("u = v").groupBy("gid", F.col("u").alias("vid")).agg(F.sum("n").alias("dv"))
+    first = size.join(total, "gid").select("gid", F.col("size").cast("string").alias("seq"), (F.col("n") / F.col("m")).alias("p"))
+    out = [first.withColumn("length", F.lit(1))]
+    own = pairs.where("u = v").select("gid", F.col("u").alias("vid"), "size", "n")
+    state = own.join(total, "gid").select("gid", "vid", F.col("size").cast("string").alias("seq"), (F.col("n") / (F.col("m") * F.col("size"))).alias("p"))
+    for length in range(2, lengths + 1):
+        state = durable(state)
+        goes = state.join(seen, ["gid", "vid"]).withColumn("p", F.col("p") / F.col("dv"))
+        more = F.concat_ws(",", "seq", F.col("size").cast("string")).alias("seq")
+        ends = goes.join(own, ["gid", "vid"]).groupBy("gid", more).agg(F.sum(F.col("p") * F.col("n")).alias("p"))
+        out.append(ends.withColumn("length", F.lit(length)))
+        on = goes.join(pairs.withColumnRenamed("u", "vid"), ["gid", "vid"])
+        state = on.groupBy("gid", F.col("v").alias("vid"), more).agg(F.sum(F.col("p") * F.col("n") / F.col("size")).alias("p"))
+    total = out[0]
+    for part in out[1:]:
+        total = total.unionByName(part)
+    return total.select("gid", "length", "seq", "p")
+
+
+def rooted_features(inc: DataFrame, lengths: int = ROOTED_LENGTHS, walks: int = ROOTED_WALKS) -> DataFrame:
+    """features(gid, fid, length, cnt): expected counts among so many walks, of lengths drawn with :func:`length_shares`."""
+    shares = F.array(*map(F.lit, length_shares(lengths)))
+    expected = rooted_expected(inc, lengths)
+    return expected.select("gid", F.col("seq").alias("fid"), "length", (walks * F.element_at(shares, F.col("length")) * F.col("p")).alias("cnt"))
+
+
+def fused(features: DataFrame, gamma: float = 0.5) -> DataFrame:
+    """features whose inner products are the sum over lengths of gamma ** length times those of each length."""
+    return features.select("gid", "fid", (F.col("cnt") * F.pow(F.lit(gamma), F.col("length") / 2)).alias("cnt"))
+
+
+def automatic_walks(inc: DataFrame, lengths: int = ROOTED_LENGTHS) -> DataFrame:
+    """gid, walks: hyperedges times (mean size times mean degree) ** lengths / 200, rounded down."""
+    e = degree_e(inc).groupBy("gid").agg(F.count("*").alias("n"), F.avg("deg").alias("de"))
+    v = degree_v(inc).groupBy("gid").agg(F.avg("deg").alias("dv"))
+    walks = F.floor(F.col("n") * F.pow(F.col("de") * F.col("dv"), F.lit(lengths)) / 200 + 1e-9)
+    return e.join(v, "gid").select("gid", walks.cast("long").alias("walks"))
 
-    A step picks a member of the edge uniformly, then one of that vertex's edges uniformly.
+
+def rooted_sampled(inc: DataFrame, lengths: int = ROOTED_LENGTHS, walks: int | DataFrame = ROOTED_WALKS, seed: int = 2023) -> DataFrame:
+    """features(gid, fid, length, cnt) of so many sampled walks a graph, or as many as (gid, walks) says.
+
+    All choices are hashes of the graph, the walk and the step, so they do not depend on partitions.
     """
-    size = degree_e(inc)
-    edges = size.groupBy("gid").agg(F.count("*").alias("edges"))
-    a = inc.join(size.withColumnRenamed("deg", "s1"), ["gid", "eid"]).select("gid", "vid", "s1")
-    b = inc.join(size.withColumnRenamed("deg", "s2"), ["gid", "eid"]).select("gid", "vid", "s2")
-    steps = a.join(b, ["gid", "vid"]).join(degree_v(inc), ["gid", "vid"]).join(edges, "gid")
-    p = F.sum(1.0 / (F.col("edges") * F.col("s1") * F.col("deg")))
-    return steps.groupBy("gid", "s1", "s2").agg(p.alias("p"))
+    inc = inc.select("gid", "eid", "vid")
+    edges = durable(inc.groupBy("gid", "eid").agg(F.array_sort(F.collect_set("vid")).alias("members")))
+    near = durable(inc.groupBy("gid", "vid").agg(F.array_sort(F.collect_set("eid")).alias("edges")))
+    starts = edges.groupBy("gid").agg(F.array_sort(F.collect_list("eid")).alias("all"))
+    starts = starts.withColumn("walks", F.lit(walks)) if isinstance(walks, int) else starts.join(walks, "gid")
+
+    def drawn(*what) -> Column:
+        return F.xxhash64("gid", "walk", *map(F.lit, what), F.lit(seed))
+
+    def one_of(column: str, *what) -> Column:
+        return F.element_at(column, (F.pmod(drawn(*what), F.size(column)) + 1).cast("int"))
+
+    rows = starts.where("walks > 0").select("gid", "all", F.explode(F.sequence(F.lit(1).cast("long"), F.col("walks").cast("long"))).alias("walk"))
+    share = F.pmod(drawn("length"), F.lit(1 << 30)) / (1 << 30)
+    length, upto = F.lit(lengths), 1.0
+    for k, part in reversed(list(enumerate(length_shares(lengths), 1))):
+        upto -= part
+        length = F.when(share < upto + part, k).otherwise(length)
+    at = rows.select("gid", "walk", length.alias("length"), one_of("all", "start").alias("eid"))
+    at = at.join(edges, ["gid", "eid"]).select("gid", "walk", "length", "members", F.size("members").cast("string").alias("fid"))
+    for step in range(1, lengths):
+        goes = at.where(F.col("length") > step).select("gid", "walk", "length", "fid", one_of("members", "vertex", step).alias("vid"))
+        goes = goes.join(near, ["gid", "vid"]).select("gid", "walk", "length", "fid", one_of("edges", "edge", step).alias("eid"))
+        goes = goes.join(edges, ["gid", "eid"]).select("gid", "walk", "length", "members", F.concat_ws(",", "fid", F.size("members").cast("string")).alias("fid"))
+        at = durable(at.where(F.col("length") <= step).unionByName(goes))
+    return at.groupBy("gid", "fid", "length").agg(F.count("*").alias("cnt"))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import convert, generators, kernels, learn, patterns, refine, refine_ids, soft, spectral, svm, walks
-from ..sources.collections import orders_by, read
+from ..operators import convert, generators, kernels, learn, patterns, persistence, refine, refine_ids, soft, spectral, structure, svm, walks
+from ..sources.collections import orders_by, read, sessions
 from .oracles import ORACLES
+from .registry import KERNELS, motifs
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -51,13 +52,20 @@ def rounded_p(rows: DataFrame) -> DataFrame:
     return rows.withColumn("p", F.round(F.col("p") + 1e-12, 6))
 
 
-def ghc_features(adj: DataFrame) -> DataFrame:
-    out = None
-    for name in ("edge", "path3"):
-        hom = patterns.hom_tree(adj, patterns.TREES[name])
-        own = hom.select("gid", F.lit(name).alias("pattern"), F.round(F.log("hom"), 9).alias("x"))
-        out = own if out is None else out.unionByName(own)
-    return out
+def with_brands(plan: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """Customers' hypergraphs with all brands as vertices, most of them isolated, labelled with their makers."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        inc = orders_by(spark, sf_dir, "customer", "p_brand")
+        brands = read(spark, sf_dir, "part").select(F.col("p_brand").alias("vid")).distinct()
+        vertices = inc.select("gid").distinct().crossJoin(F.broadcast(brands))  # 25 brands
+        return plan(inc, vertices.withColumn("lbl", F.substring("vid", 1, 7)))
+
+    return query
+
+
+def logs(adj: DataFrame, types: str = "t") -> DataFrame:
+    return patterns.ghc_features(adj, types).withColumn("x", F.round("x", 9))
 
 
 def kernel_sum(inc: DataFrame) -> DataFrame:
@@ -72,13 +80,15 @@ def class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth vector by the three nearest of the others, by Euclidean distance."""
+    rows = vectors(spark, sf_dir).select("gid", "x")
+    found = learn.nearest(rows.where("gid % 5 != 0"), rows.where("gid % 5 = 0"), 3)
+    return learn.knn(found, read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("gid"), F.col("label").alias("y")))
+
+
+def labelled_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = read(spark, sf_dir, "embeddings")
-    a = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("gid_a"), F.transform("embedding", lambda x: x.cast("double")).alias("xa"))
-    b = rows.where("vec_id % 5 != 0").select(F.col("vec_id").alias("gid_b"), F.transform("embedding", lambda x: x.cast("double")).alias("xb"))
-    squares = F.zip_with("xa", "xb", lambda x, y: (x - y) * (x - y))
-    d = F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)), 6)
-    pairs = a.crossJoin(b).select("gid_a", "gid_b", d.alias("d"))
-    return learn.knn(pairs, rows.select(F.col("vec_id").alias("gid"), F.col("label").alias("y")))
+    long = rows.select(F.col("vec_id").alias("gid"), F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    return long, rows.select(F.col("vec_id").alias("gid"), F.col("label").alias("cluster"))
 
 
 def knn_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,14 +119,19 @@ def homs(name: str) -> Query:
     return on_cliques(lambda adj: patterns.hom_tree(adj, patterns.TREES[name]))
 
 
-def ghc_kernel(inc: DataFrame) -> DataFrame:
-    f = ghc_features(convert.clique(inc)).select("gid", F.col("pattern").alias("dim"), F.round("x", 6).alias("x"))
-    return kernels.exponential(kernels.distances(f, 1), 1e-5).withColumn("k", F.round("k", 6))
+def rounded_k(kernel: DataFrame, places: int = 6) -> DataFrame:
+    return kernel.withColumn("k", F.round(F.col("k").cast("double"), places))
+
 
+def named(name: str, vid: str = "p_brand", places: int = 9) -> Query:
+    """The kernel of that name among nations."""
+    return on_incidence("nation", vid, lambda inc: rounded_k(KERNELS[name]().fit_transform(inc), places))
 
-def hsvd_kernel(inc: DataFrame) -> DataFrame:
-    means = spectral.fourier_means(spectral.singular_vectors(inc, 20), 400)
-    return kernels.exponential(kernels.distances(means, 2), 1e-5)
+
+def motif_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations by the embeddings with their numbers, which stand for precomputed features."""
+    rows = vectors(spark, sf_dir).select("gid", "x")
+    return rounded_k(motifs(rows).fit_transform(orders_by(spark, sf_dir, "nation", "p_brand")))
 
 
 def svm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,9 +147,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("gid"), x.alias("x"), F.col("label").cast("double").alias("y"))
 
 
-def learned(name: str) -> Query:
+def learned(name: str, classes: int = 10) -> Query:
     def query(spark, sf_dir):
-        rows = vectors(spark, sf_dir)
+        rows = vectors(spark, sf_dir).withColumn("y", F.col("y") % classes)
         return svm.learner_predictions(rows.where("gid % 5 != 0"), rows.where("gid % 5 = 0"), name)
 
     return query
@@ -166,12 +181,12 @@ QUERIES: dict[str, Query] = {
     "wl_transform_unseen": on_nations(transform_unseen),
     "hyedge_features": on_customers(lambda inc: totals(refine.hyperedge_wl(inc, 2))),
     "hyedge_kernel": on_nations(lambda inc: normalised(refine.hyperedge_wl(inc, 2))),
-    "list_wl_features": on_customers(lambda inc: totals(refine.list_wl(inc, 1))),
+    "list_wl_features": on_customers(lambda inc: totals(refine.list_wl(inc, 2))),
     "graph_wl_features": on_cliques(lambda adj: totals(refine.graph_wl(adj, 2))),
-    "sum_wl_features": on_customers(lambda inc: totals(refine_ids.sum_wl(inc))),
-    "ewl_features": on_customers(lambda inc: totals(refine_ids.early_stopping_wl(inc, 2, 3))),
-    "two_wl_features": on_cliques(lambda adj: totals(refine_ids.two_wl(adj))),
-    "directed_line_features": on_customers(lambda inc: totals(refine_ids.directed_line_wl(inc))),
+    "sum_wl_features": on_customers(lambda inc: totals(refine_ids.sum_wl(inc, 2)[0])),
+    "ewl_features": on_customers(lambda inc: totals(refine_ids.early_stopping_wl(inc, 3, 3)[0])),
+    "two_wl_features": on_cliques(lambda adj: totals(refine_ids.two_wl(adj, 2))),
+    "directed_line_features": on_customers(lambda inc: totals(refine_ids.directed_line_wl(inc, 2))),
     "soft_edge_weights": on_customers(soft.soft_edge_weights),
     "rooted_expected_sequences": on_customers(lambda inc: rounded_p(soft.rooted_expected(inc))),
     "evmn_features": on_customers(lambda inc: walks.degree_walk(inc).withColumn("p", F.round("p", 9))),
@@ -186,8 +201,8 @@ QUERIES: dict[str, Query] = {
     "hom_cycle3": on_cliques(lambda adj: patterns.hom_cycle(adj, 3)),
     "triangle_count": on_cliques(patterns.triangles),
     "graphlet3_counts": on_cliques(patterns.graphlets3),
-    "shortest_path_hist": on_cliques(lambda adj: patterns.path_histogram(adj, 4)),
-    "ghc_features": on_cliques(ghc_features),
+    "shortest_path_hist": on_cliques(patterns.path_histogram),
+    "ghc_features": on_cliques(logs),
     "pairwise_l1": distance(1),
     "pairwise_l2": distance(2),
     "exp_median_kernel": lambda spark, sf_dir: kernels.exponential(kernels.distances(class_means(spark, sf_dir), 2), 1e-5).withColumn("k", F.round("k", 5)),
@@ -198,13 +213,16 @@ QUERIES: dict[str, Query] = {
     "adjusted_rand": lambda spark, sf_dir: learn.adjusted_rand(knn_scored(spark, sf_dir).selectExpr("y AS a", "pred AS b")),
     "kfold_assign": folds,
     "cv_mean_var": fold_scores,
-    "ghc_kernel": on_nations(ghc_kernel),
+    "ghc_kernel": named("graph_homo", places=6),
     "multilabel_metrics": label_sets,
     "normalized_mutual_info": lambda spark, sf_dir: learn.normalized_mutual_info(knn_scored(spark, sf_dir).selectExpr("y AS a", "pred AS b")),
-    "hsvd_kernel": on_nations(hsvd_kernel),
+    "hsvd_kernel": named("hypergraph_hsvd"),
     "svm_predict": svm_predict,
     "logreg_predict": learned("logreg"),
     "nb_predict": learned("bayes"),
+    "rf_predict": learned("forest"),
+    "gbt_predict": learned("boosting", 2),
+    "ada_predict": learned("stumps"),
     "kmeans_assign": lambda spark, sf_dir: svm.clusters(vectors(spark, sf_dir), 10),
     "gen_flower": lambda spark, _: generators.flower(spark, 20, 4, 3),
     "gen_cycle": lambda spark, _: generators.cycle(spark, 20, 2, 3),
@@ -215,3 +233,43 @@ QUERIES: dict[str, Query] = {
     "gen_chain": lambda spark, _: generators.chain(spark, 20, 2, 3),
     "gen_lattice": lambda spark, _: generators.lattice(spark, 9),
 }
+QUERIES |= {
+    "wl_features_given": with_brands(lambda inc, v: totals(refine.hypergraph_wl(inc, 2, v))),
+    "average_degree": with_brands(convert.average_degree),
+    "isolated_degrees": with_brands(convert.degrees),
+    "distinct_label_counts": on_customers(lambda inc: structure.distinct_labels(convert.degree_v(inc), "deg", "vid")),
+    "one_hot_features": on_customers(lambda inc: structure.one_hot(convert.dense_labels(convert.degree_v(inc), "deg"))),
+    "graph_components": on_cliques(structure.components),
+    "tree_test": on_cliques(structure.is_tree),
+    "induced_edges": on_cliques(lambda adj: structure.induced(adj, convert.symmetric(adj).select("gid", F.col("u").alias("vid")).where("vid LIKE '%A%'"))),
+    "symmetric_walk": on_nations(lambda inc: rounded_p(walks.diagonals(walks.symmetric_walk(inc), 2))),
+    "lazy_walk": on_cliques(lambda adj: walks.lazy_walk(adj, 0.3).withColumn("w", F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(F.round(F.col("w") + 1e-12, 9)))),
+    "soft_walk": on_customers(lambda inc: walks.diagonals(soft.soft_walk(inc), 2).withColumn("p", F.round(F.col("p") + 1e-12, 5))),
+    "rooted_kernel_fuse": on_nations(lambda inc: kernels.gram(soft.fused(soft.rooted_features(inc))).withColumn("k", F.round(F.col("k") + 1e-12, 5))),
+    "rooted_sampled": on_customers(soft.rooted_sampled),
+    "automatic_walks": on_customers(soft.automatic_walks),
+    "hom_tree_profile": on_cliques(lambda adj: patterns.hom_trees(adj, patterns.all_trees())),
+    "ghc_paths": on_cliques(lambda adj: logs(adj, "c")),
+    "hom_diamond": on_cliques(lambda adj: patterns.hom(adj, 4, [(0, 1), (1, 2), (2, 3), (0, 3), (0, 2)]).where("hom > 0")),
+    "injective_path_count": on_cliques(lambda adj: patterns.hom(adj, 4, [(0, 1), (1, 2), (2, 3)], injective=True).where("hom > 0")),
+    "k_cycle_count": on_cliques(lambda adj: patterns.cycles(adj, 4)),
+    "graphlet4_counts": on_cliques(lambda adj: patterns.graphlets(adj, 4)),
+    "graphlet_sampled": on_cliques(lambda adj: patterns.sampled_graphlets(adj, convert.symmetric(adj).select("gid", F.col("u").alias("vid")))),
+    "persistence_pairs": on_cliques(lambda adj: persistence.pairs(persistence.uniform_weights(adj))),
+    "persistence_features": on_cliques(lambda adj: persistence.persistence_features(adj)[0]),
+    "class_accuracies": lambda spark, sf_dir: learn.class_accuracies(knn_scored(spark, sf_dir)),
+    "train_test_split": lambda spark, sf_dir: learn.train_test(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("gid")), 0.1, 2),
+    "kfold_seeded": lambda spark, sf_dir: learn.kfold(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("gid")), 5, 2023),
+    "silhouette": lambda spark, sf_dir: learn.silhouette(kernels.distances(labelled_clusters(spark, sf_dir)[0], 2), labelled_clusters(spark, sf_dir)[1]),
+    "davies_bouldin": lambda spark, sf_dir: learn.davies_bouldin(*labelled_clusters(spark, sf_dir)),
+    "calinski_harabasz": lambda spark, sf_dir: learn.calinski_harabasz(*labelled_clusters(spark, sf_dir)),
+    "event_sessions": sessions,
+    "gen_dataset": lambda spark, _: generators.dataset(spark, 50),
+    "gen_sweep": lambda spark, _: generators.sweep(spark, "edges", [10])[10],
+    "kernel_hypergraph_motifs": motif_kernel,
+    "kernel_hypergraph_mochy": motif_kernel,
+    "kernel_graph_homo": named("graph_homo", "l_suppkey", 6),
+    "kernel_graph_shortestpath": named("graph_shortestpath", "l_suppkey", 6),
+    "kernel_hypergraph_sck": named("hypergraph_sck", places=6),
+}
+QUERIES |= {f"kernel_{name}": named(name) for name in KERNELS if f"kernel_{name}" not in QUERIES}

@@ -71,6 +71,38 @@ def write_text(collection: Collection, path: str) -> None:
     each.unionByName(count).repartition(1).sortWithinPartitions("gid").select("line").write.mode("overwrite").text(path)
 
 
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """label: the lines of a file without the blanks around them."""
+    return spark.read.text(path).select(F.trim("value").alias("label"))
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """gid, x array<double>: precomputed features, from Parquet, or from CSV lines of an id and numbers."""
+    if not path.endswith(".csv"):
+        return spark.read.parquet(path).select(F.col("gid").cast("long"), F.col("x").cast("array<double>"))
+    parts = F.split("value", ",")
+    x = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda v: F.trim(v).cast("double"))
+    return spark.read.text(path).where(F.trim("value") != "").select(F.trim(parts[0]).cast("long").alias("gid"), x.alias("x"))
+
+
+def prepared(collection: Collection, degree_as_tag: bool = True) -> DataFrame:
+    """gid, vid, lbl: vertices with their labels: degrees, 0 for isolated ones, or those of the file, joined by "/"."""
+    from ..operators.convert import degrees
+
+    if degree_as_tag:
+        return degrees(collection.incidence, collection.vertices).withColumnRenamed("deg", "lbl")
+    return collection.vertices.select("gid", "vid", F.array_join("v_lbl", "/").alias("lbl"))
+
+
+def summary(collection: Collection) -> DataFrame:
+    """graphs, classes, vertex labels, and whether some graph has several classes."""
+    g, v = collection.graphs, collection.vertices
+    classes = g.select(F.explode("g_lbl").alias("c")).agg(F.count_distinct("c").alias("n_classes"))
+    labels = v.agg(F.count_distinct("v_lbl").alias("ft_dim"))
+    many = g.agg(F.count("*").alias("graphs"), F.coalesce(F.max(F.size("g_lbl")) > 1, F.lit(False)).alias("multi_label"))
+    return many.crossJoin(classes).crossJoin(labels)  # one row each
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,5 +121,11 @@ def orders_by(spark: SparkSession, sf_dir: str, gid: str, vid: str) -> DataFrame
     return rows.select(own.alias("gid"), F.col("o_orderkey").alias("eid"), F.col(vid).alias("vid")).distinct()
 
 
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """incidence(gid, eid, vid) of users, days and kinds of events."""
+    events = read(spark, sf_dir, "events")
+    return events.select(F.col("user_id").alias("gid"), F.date_format("ts", "yyyyMMdd").cast("long").alias("eid"), F.col("event_type").alias("vid")).distinct()
+
+
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("gid"), F.col("c_mktsegment").alias("y"))
