@@ -49,12 +49,17 @@ def graphs(collection: Graphs | DataFrame) -> Graphs:
 
 @dataclass
 class Kernel:
-    """``features`` maps graphs to features(gid, fid, cnt)."""
+    """``features`` maps graphs to features(gid, fid, cnt).
+
+    Other graphs' own values are of the same kind as the kernel's; with ``compat`` they are sums of squares also where the
+    kernel is of histogram intersections.
+    """
 
     features: Callable[[Graphs], DataFrame]
     how: str = "product"
     normalise: bool = True
     train: DataFrame | None = None
+    compat: bool = False
 
     def fit(self, collection: Graphs | DataFrame) -> Kernel:
         self.train = durable(self._totals(self.fitted_features(graphs(collection))))
@@ -72,17 +77,17 @@ class Kernel:
     def transform(self, collection: Graphs | DataFrame) -> DataFrame:
         """Against the training graphs; only labels that training has seen count."""
         rows = durable(self._totals(self.other_features(graphs(collection))))
-        return self._kernel(refine.seen_only(rows, self.train))
+        return self._kernel(refine.seen_only(rows, self.train), "product" if self.compat else self.how)
 
     @staticmethod
     def _totals(features: DataFrame) -> DataFrame:
         return features.groupBy("gid", "fid").agg(F.sum("cnt").alias("cnt"))
 
-    def _kernel(self, rows: DataFrame) -> DataFrame:
+    def _kernel(self, rows: DataFrame, own: str | None = None) -> DataFrame:
         k = kernels.gram(rows, self.train, self.how)
         if not self.normalise:
             return k
-        return kernels.normalised(k, kernels.self_products(rows, self.how), kernels.self_products(self.train, self.how))
+        return kernels.normalised(k, kernels.self_products(rows, own or self.how), kernels.self_products(self.train, self.how))
 
 
 @dataclass

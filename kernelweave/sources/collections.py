@@ -71,6 +71,15 @@ def write_text(collection: Collection, path: str) -> None:
     each.unionByName(count).repartition(1).sortWithinPartitions("gid").select("line").write.mode("overwrite").text(path)
 
 
+def write_dataset(spark: SparkSession, folder: str, n: int, mode: str = "multi_class", seed: int = 5) -> str:
+    """A collection of n random composites as a text file whose path says how it was made; returns the path."""
+    from ..operators.generators import RANGES, dataset
+
+    path = f"{folder}/{n}Random_{len(RANGES)}_hg_seed_{seed}_{mode}"
+    write_text(from_records(dataset(spark, n, mode, seed)), path)
+    return path
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """label: the lines of a file without the blanks around them."""
     return spark.read.text(path).select(F.trim("value").alias("label"))

@@ -121,6 +121,22 @@ def test_sources(spark, tmp_path):
     assert collections.summary(c).first().asDict() == {"graphs": 2, "multi_label": True, "n_classes": 3, "ft_dim": 3}
 
 
+def test_generated_files(spark, tmp_path):
+    path = collections.write_dataset(spark, str(tmp_path), 5, "single_class", 7)
+    assert path.endswith("5Random_6_hg_seed_7_single_class")
+    c = collections.read_text(spark, path)
+    want = {r.gid: (r.num_v, r.num_e, r.g_lbl) for r in generators.dataset(spark, 5, "single_class", 7).collect()}
+    assert {r.gid: (r.num_v, r.num_e, r.g_lbl) for r in c.graphs.collect()} == want
+
+
+def test_other_self_values(spark, collection):
+    a, b = registry.wl(2, "least"), registry.wl(2, "least")
+    b.compat = True
+    own = lambda made: values(made.fit(collection).transform(collection))
+    x, y = own(a), own(b)
+    assert x.keys() == y.keys() and all(y[key] <= x[key] + 1e-12 for key in x) and any(y[key] < x[key] for key in x)
+
+
 def test_small_families_are_the_large_ones(spark):
     for kind, sizes in (("flower", (5, 2, 3)), ("wheel", (4, 2, 1, 3)), ("cycle", (4, 1, 2)), ("chain", (3, 2, 1)), ("fern", (3, 2)), ("lattice", (4,))):
         own = generators.small(kind, *sizes)
