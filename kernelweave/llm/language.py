@@ -10,7 +10,9 @@ from how full each language's slice is, and the largest decides (ties: the first
 
 Defined results: a null text and a text without letters are ``und`` with score 0; a text with letters
 but no known n-gram takes the language with most training n-grams, with score 0; without training rows
-everything is ``und``; training rows without a language do not count; further columns are not read.
+everything is ``und``; training rows without a language do not count; an empty table gives no rows; repeated rows
+count as often as they stand there in training, and get a row and the same prediction each; texts are read
+whole, however long; further columns are not read.
 """
 
 from __future__ import annotations

@@ -170,10 +170,11 @@ SPELLINGS = [
 
 
 def plain(text: Column) -> Column:
-    text = F.lower(text)
+    """Most texts hold neither of two signs without which no spelling has to change."""
+    out = text = F.lower(text)
     for pattern, new in SPELLINGS:
-        text = F.regexp_replace(text, pattern, new)
-    return text
+        out = F.regexp_replace(out, pattern, new)
+    return F.when(text.rlike("[0-9]") | text.contains("cc"), out).otherwise(text)
 
 
 def plain_text(text: str) -> str:
@@ -202,18 +203,29 @@ def bounded(df: DataFrame, width: int) -> DataFrame:
     return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
-def units(text: Column, named: Column) -> Column:
-    """The distinct headers of a text in lower case, see the module's docstring."""
+def units(rows: DataFrame) -> DataFrame:
+    """The rows of (text in lower case, named, ..) with ``units``, their distinct headers; see the module's docstring.
+
+    What several units are made of has a column of its own, so that it is made once.
+    """
     triggered = lambda parts: F.filter(parts, lambda x: x.rlike(TRIGGER))
-    lines = F.split(text, "\n")
-    bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, MARK, ""), MARK_END, ""))
-    marked = F.zip_with(lines, bare, lambda x, y: F.when(x.rlike(MARK), y).otherwise(F.lit("\x01")))
+    ends = lambda x: x.contains("*/") | x.contains("-->") | x.contains('"""') | x.contains("'''")
+    stripped = lambda x: F.regexp_replace(F.regexp_replace(x, MARK, ""), MARK_END, "")
+    clean = lambda x: F.when(x.rlike(MARK) | ends(x), stripped(x)).otherwise(F.rtrim(x, F.lit(" \t\r")))
+    rows = rows.withColumn("lines", F.split("text", "\n")).withColumn("bare", F.transform("lines", clean))
+    marked = F.zip_with("lines", "bare", lambda x, y: F.when(x.rlike(MARK), y).otherwise(F.lit("\x01")))
+    # nothing but the whole is a header where no word of a trigger is
+    none, told = F.array().cast("array<string>"), F.col("text").rlike(TRIGGER)
+    rows = rows.withColumn("whole", F.array_join("bare", "\n"))
+    rows = rows.withColumn("paragraphs", F.when(told, triggered(F.split("whole", r"\n[ \t]*\n\s*"))).otherwise(none))
     runs = triggered(F.split(F.array_join(marked, "\n"), "[\x01\n]*\x01[\x01\n]*"))
-    paragraphs = triggered(F.split(F.array_join(bare, "\n"), r"\n[ \t]*\n\s*"))
-    sentences = F.flatten(F.transform(paragraphs, lambda x: triggered(F.split(x, r"(?<=[.!?;])\s+"))))
-    every = F.concat(triggered(bare), runs, paragraphs, sentences)
-    every = F.when(named, F.array_append(every, F.array_join(bare, "\n"))).otherwise(every)
-    return F.array_distinct(F.transform(every, lambda x: F.trim(plain(F.regexp_replace(x, r"\s+", " ")))))
+    sentences = F.flatten(F.transform("paragraphs", lambda x: triggered(F.split(x, r"(?<=[.!?;])\s+"))))
+    parts = F.when(told, F.concat(triggered(F.col("bare")), runs, "paragraphs", sentences)).otherwise(none)
+    every = F.when(F.col("named"), F.array_append(parts, F.col("whole"))).otherwise(parts)
+    spaced = F.transform(F.array_distinct(every), lambda x: F.regexp_replace(x, r"\s+", " "))
+    rows = rows.withColumn("units", F.array_distinct(spaced))
+    rows = rows.withColumn("units", F.array_distinct(F.transform("units", lambda x: F.trim(plain(x)))))
+    return rows.drop("lines", "bare", "whole", "paragraphs")
 
 
 def headers(files: DataFrame) -> DataFrame:
@@ -221,7 +233,7 @@ def headers(files: DataFrame) -> DataFrame:
     lower = F.lower(text_or_empty())
     named = F.coalesce(F.regexp_extract(F.lower(F.element_at(F.split("path", "/"), -1)), LICENCE_FILE, 0) != "", F.lit(False))
     rows = files.select("row", "path", lower.alias("text"), named.alias("named")).where(F.col("text").rlike(TRIGGER) | F.col("named"))
-    return rows.select("row", "path", "named", F.explode(units(F.col("text"), F.col("named"))).alias("header")).where("header != ''")
+    return units(rows).select("row", "path", "named", F.explode("units").alias("header")).where("header != ''")
 
 
 def vectors(texts: DataFrame, idf: DataFrame, known: Column) -> DataFrame:

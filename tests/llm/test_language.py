@@ -82,3 +82,32 @@ def test_held_out_accuracy(spark):
     got = language.digest(docs).where("held_out").join(docs, "doc_id")
     right, total = got.selectExpr("sum(int(lang = lang_pred))", "count(*)").first()
     assert right >= 0.97 * total
+
+
+def test_predictions_against_brute_force(spark):
+    """Popcounts over all looked-up n-grams of a text, corrected and compared, without memories or lanes."""
+    rows = corpus(150)
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    false = np.minimum(model.false_positives(), 0.999)
+    texts = [t for _, t, _ in corpus(40)] + ["lorem kwazi ñandú amet zhyk", "dolor dolor vuxo", "lorem " * 50_000 + "kwazi"]
+    mixed = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    got = {}
+    for r in language.predict(mixed, model).collect():
+        assert got.setdefault(r.doc_id, (r.lang_pred, r.score)) == (r.lang_pred, r.score)
+    for k, text in enumerate(texts):
+        total, held = 0, np.zeros(len(model.languages))
+        for word in language.words(text):
+            for gram in language.ngrams(word):
+                total += 1
+                mask = int(np.bitwise_and.reduce(model.bits[language.slots(gram)], axis=0)[0])
+                held += [mask >> b & 1 for b in range(len(model.languages))]
+        corrected = np.maximum(0, (held - total * false) / (1 - false))
+        best = int(corrected.argmax())
+        assert got[k][0] == model.languages[best] and abs(got[k][1] - corrected[best] / corrected.sum()) < 1e-9
+
+
+def test_repeated_training_rows(spark):
+    rows = corpus(60)
+    once = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    twice = language.fit(spark.createDataFrame(rows + rows, "doc_id long, text string, lang string"))
+    assert once.languages == twice.languages and np.array_equal(once.bits, twice.bits)

@@ -104,3 +104,28 @@ def test_filter_keeps_what_scores_low(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {k for k, _ in low}
     assert kept.where("doc_id = 0").count() in (0, 3) and kept.where("doc_id = 9000").count() == 0
     assert toxicity.keep_below(d.limit(0), model).count() == 0
+
+
+def test_repeated_documents(spark):
+    docs, labels = corpus(200)
+    d = spark.createDataFrame(docs + docs[:50], "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {}
+    rows = toxicity.digest(d, lab).collect()
+    assert len(rows) == 250
+    for r in rows:
+        assert got.setdefault(r.doc_id, r.score) == r.score
+
+
+def test_scores_against_brute_force(spark):
+    """The sum of the weights of all kept numbers of a text, found word by word without a memory."""
+    docs, labels = corpus(250)
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    model = toxicity.fit_labelled(d, lab, F.lit(True))
+    got = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
+    for k, text in docs:
+        held = set().union(*map(toxicity.numbers, toxicity.words(text))) & set(model.weights)
+        z = model.bias + sum(model.weights[x] for x in held)
+        assert abs(got[k] - 1 / (1 + np.exp(-z))) < 1e-9
