@@ -8,13 +8,24 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
-def gram(a: DataFrame, b: DataFrame | None = None, how: str = "product") -> DataFrame:
-    """Inner products, or with ``how='least'`` histogram intersections, of all pairs that share a feature."""
+def gram(a: DataFrame, b: DataFrame | None = None, how: str = "product", blocks: int = 1) -> DataFrame:
+    """Inner products, or with ``how='least'`` histogram intersections, of all pairs that share a feature.
+
+    A feature that most graphs share makes most pairs by itself. With ``blocks``, each side's graphs are dealt out in
+    so many parts, and every two parts of a feature's graphs meet in a task of their own.
+    """
     b = a if b is None else b
     left = a.select(F.col("gid").alias("gid_a"), "fid", F.col("cnt").alias("x"))
     right = b.select(F.col("gid").alias("gid_b"), "fid", F.col("cnt").alias("y"))
+    on = ["fid"]
+    if blocks > 1:
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        left = left.withColumn("part_a", part("gid_a")).withColumn("part_b", every)
+        right = right.withColumn("part_b", part("gid_b")).withColumn("part_a", every)
+        on = ["fid", "part_a", "part_b"]
     term = F.col("x") * F.col("y") if how == "product" else F.least("x", "y")
-    return left.join(right, "fid").groupBy("gid_a", "gid_b").agg(F.sum(term).alias("k"))
+    return left.join(right, on).groupBy("gid_a", "gid_b").agg(F.sum(term).alias("k"))
 
 
 def self_products(features: DataFrame, how: str = "product") -> DataFrame:

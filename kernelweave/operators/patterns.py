@@ -55,11 +55,11 @@ def all_trees(most: int = 6) -> dict[str, tuple[int, ...]]:
     return out
 
 
-def hom_trees(adj: DataFrame, trees: dict[str, tuple[int, ...]], vertices: DataFrame | None = None) -> DataFrame:
+def hom_trees(adj: DataFrame, trees: dict[str, tuple[int, ...]], vertices: DataFrame | None = None, by_graph: bool = True) -> DataFrame:
     """gid, pattern, hom of all trees at once: h_x(a) = product over children y of the sum of h_y over a's neighbours.
 
     Rooted subtrees that several trees share are counted once; a round sends what is known of a vertex to
-    its neighbours, for all subtrees of one height more. One shuffle by graph serves all rounds.
+    its neighbours, for all subtrees of one height more. One shuffle by graph serves all rounds, unless graphs are too large for that.
     """
     forms = {name: flattest(parents) for name, parents in trees.items()}
     known: set[tuple] = set()
@@ -76,7 +76,8 @@ def hom_trees(adj: DataFrame, trees: dict[str, tuple[int, ...]], vertices: DataF
     rows = symmetric(adj).select("gid", F.col("u").alias("vid"), "v")
     if vertices is not None:
         rows = rows.unionByName(vertices.select("gid", "vid", F.lit(None).alias("v")))
-    state = rows.repartition("gid").groupBy("gid", "vid").agg(F.collect_list("v").alias("near"))
+    rows = rows.repartition("gid") if by_graph else rows
+    state = rows.groupBy("gid", "vid").agg(F.collect_list("v").alias("near"))
     state = state.withColumn("h0", F.lit(1).cast("long"))
     done = [order[0]]
     for level in range(1, max(map(height, order)) + 1):
@@ -119,13 +120,13 @@ def profile(adj: DataFrame, most: int = 6, vertices: DataFrame | None = None) ->
     return rows.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("pattern", "hom"))).alias("x")).select("gid", F.col("x.hom").alias("homs"))
 
 
-def ghc_features(adj: DataFrame, types: str = "t", size: int = 6, vertices: DataFrame | None = None) -> DataFrame:
+def ghc_features(adj: DataFrame, types: str = "t", size: int = 6, vertices: DataFrame | None = None, by_graph: bool = True) -> DataFrame:
     """gid, pattern, x: logarithms of homomorphism counts of trees (t), paths (c, which the closing edge fails) or both.
 
     A graph without an edge has no homomorphism of any of them; its logarithm is null, not an infinity.
     """
     wanted = (all_trees(size) if "t" in types else {}) | (paths(size) if "c" in types else {})
-    rows = hom_trees(adj, wanted, vertices)
+    rows = hom_trees(adj, wanted, vertices, by_graph)
     return rows.select("gid", "pattern", log_or_null(F.col("hom")).alias("x"))
 
 

@@ -107,7 +107,7 @@ def persistence_features(adj: DataFrame, p: float = 1, vertices: DataFrame | Non
     """
     from .refine import counted, graph_round
 
-    v0 = durable(graph_start(adj, vertices))
+    v0 = durable(graph_start(adj, vertices, by_graph=False))
     v1 = durable(graph_round(v0))
     v2 = durable(graph_round(v1))
     offset = v0.select("lbl").distinct().count()

@@ -44,7 +44,7 @@ def sum_wl(inc: DataFrame, rounds: int, vertices: DataFrame | None = None, fitte
     new, at = Dictionary(), iter(fitted.steps if fitted else ())
     known = lambda: next(at) if fitted else None
     inc = durable(inc.select("gid", "eid", "vid"))
-    own = start(inc, vertices).select("gid", "vid", "lbl")
+    own = start(inc, vertices, by_graph=False).select("gid", "vid", "lbl")
     v = durable(_encoded(own, ["lbl"], ["gid", "vid"], new, known()))
     sizes = inc.groupBy("gid", "eid").agg(F.count("*").alias("lbl"))
     e = durable(_encoded(sizes, ["lbl"], ["gid", "eid"], new, known()))
@@ -84,7 +84,7 @@ def early_stopping_wl(
     vertices. With ``fitted``, rare is what was rare then, and there are as many rounds.
     """
     new, at = Dictionary(), iter(fitted.steps if fitted else ())
-    v = durable(start(inc, vertices))
+    v = durable(start(inc, vertices, by_graph=False))
     first = 0 if fitted else _often(v, "lbl", threshold).count()
     often_v = often_e = None
     for r in range(len(fitted.steps) // 2 if fitted else rounds):
@@ -112,7 +112,7 @@ def two_wl(adj: DataFrame, rounds: int, vertices: DataFrame | None = None) -> Da
     over the other's, instead of being listed.
     """
     both = durable(symmetric(adj))
-    v = graph_start(adj, vertices).select("gid", "vid", "lbl")
+    v = graph_start(adj, vertices, by_graph=False).select("gid", "vid", "lbl")
     a, b = (v.select("gid", F.col("vid").alias(i), F.col("lbl").alias(x)) for i, x in (("u", "lu"), ("v", "lv")))
     label = code("p", F.least("lu", "lv"), F.greatest("lu", "lv"))
     # within a graph, all pairs are what this refinement is of
@@ -134,13 +134,13 @@ def two_wl(adj: DataFrame, rounds: int, vertices: DataFrame | None = None) -> Da
     return total
 
 
-def directed_line_wl(inc: DataFrame, rounds: int) -> DataFrame:
+def directed_line_wl(inc: DataFrame, rounds: int, by_graph: bool = True) -> DataFrame:
     """features of the directed line graph's vertices, refined by in- and, apart from that, by out-neighbours.
 
     A line (a, b) has all lines that end in a as its in-neighbours, so their labels are listed once for a and not for
     each arc. Round 0, the size of the hyperedge, counts on both sides.
     """
-    edges = edge_first(inc).groupBy("gid", "eid", "elbl").agg(F.array_sort(F.collect_list("vid")).alias("m"))
+    edges = edge_first(inc, by_graph).groupBy("gid", "eid", "elbl").agg(F.array_sort(F.collect_list("vid")).alias("m"))
     rows = edges.select("gid", "eid", "elbl", "m", F.posexplode("m").alias("pos", "a"))
     rows = rows.select("gid", "eid", "elbl", "a", F.explode(F.slice("m", F.col("pos") + 2, F.greatest(F.size("m"), F.lit(1)))).alias("b"))
     line = rows.select("gid", "eid", "a", "b", code("l", "elbl").alias("lbl"))

@@ -500,7 +500,7 @@ def named(head: str, how: str = "product") -> str:
 
 
 MOTIFS = (
-    "WITH f AS (SELECT vec_id AS gid, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id < 25), o AS (SELECT gid, list_dot_product(x, x) AS o FROM f) "
+    f"WITH {N}, f AS (SELECT vec_id AS gid, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IN (SELECT gid FROM inc)), o AS (SELECT gid, list_dot_product(x, x) AS o FROM f) "
     "SELECT a.gid AS gid_a, b.gid AS gid_b, round(list_dot_product(a.x, b.x) / sqrt(p.o * q.o), 6) AS k FROM f a, f b, o p, o q WHERE p.gid = a.gid AND q.gid = b.gid"
 )
 ORACLES |= {

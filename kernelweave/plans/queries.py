@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import convert, generators, kernels, learn, patterns, persistence, refine, refine_ids, soft, spectral, structure, svm, walks
 from ..sources.collections import orders_by, read, sessions
 from .oracles import ORACLES
-from .registry import KERNELS, motifs
+from .registry import KERNELS, Graphs, motifs
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -43,7 +43,7 @@ def normalised(features: DataFrame) -> DataFrame:
 
 
 def transform_unseen(inc: DataFrame) -> DataFrame:
-    features = refine.hypergraph_wl(inc, 2)
+    features = refine.hypergraph_wl(inc, 2, by_graph=False)
     return refine.seen_only(features.where("gid % 5 = 0"), features.where("gid % 5 != 0")).select("gid", "fid", "cnt")
 
 
@@ -69,7 +69,7 @@ def logs(adj: DataFrame, types: str = "t") -> DataFrame:
 
 
 def kernel_sum(inc: DataFrame) -> DataFrame:
-    features = refine.hypergraph_wl(inc, 1)
+    features = refine.hypergraph_wl(inc, 1, by_graph=False)
     return kernels.summed(kernels.gram(features), kernels.gram(features, how="least"))
 
 
@@ -124,8 +124,8 @@ def rounded_k(kernel: DataFrame, places: int = 6) -> DataFrame:
 
 
 def named(name: str, vid: str = "p_brand", places: int = 9) -> Query:
-    """The kernel of that name among nations."""
-    return on_incidence("nation", vid, lambda inc: rounded_k(KERNELS[name]().fit_transform(inc), places))
+    """The kernel of that name among nations, which are few and large."""
+    return on_incidence("nation", vid, lambda inc: rounded_k(KERNELS[name]().fit_transform(Graphs(inc, by_graph=False)), places))
 
 
 def motif_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def motif_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of nations from their hypergraphs, in five folds."""
     inc = orders_by(spark, sf_dir, "nation", "p_brand")
-    kernel = normalised(refine.hypergraph_wl(inc, 2))
+    kernel = normalised(refine.hypergraph_wl(inc, 2, by_graph=False))
     labels = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("gid"), F.col("n_regionkey").cast("string").alias("y"))
     return svm.predict(kernel, labels, learn.kfold(inc.select("gid").distinct(), 5))
 
@@ -175,12 +175,12 @@ QUERIES: dict[str, Query] = {
     "line_expand": on_customers(lambda inc: convert.directed_line(inc)[1].groupBy("gid").agg(F.count("*").alias("arcs"))),
     "hg_label_histogram": on_customers(lambda inc: totals(refine.hypergraph_wl(inc, 0))),
     "wl_features_r2": on_customers(lambda inc: totals(refine.hypergraph_wl(inc, 2))),
-    "wl_gram": on_nations(lambda inc: kernels.gram(refine.hypergraph_wl(inc, 2))),
-    "wl_gram_oa": on_nations(lambda inc: kernels.gram(refine.hypergraph_wl(inc, 2), how="least")),
-    "wl_kernel_norm": on_nations(lambda inc: normalised(refine.hypergraph_wl(inc, 2))),
+    "wl_gram": on_nations(lambda inc: kernels.gram(refine.hypergraph_wl(inc, 2, by_graph=False))),
+    "wl_gram_oa": on_nations(lambda inc: kernels.gram(refine.hypergraph_wl(inc, 2, by_graph=False), how="least")),
+    "wl_kernel_norm": on_nations(lambda inc: normalised(refine.hypergraph_wl(inc, 2, by_graph=False))),
     "wl_transform_unseen": on_nations(transform_unseen),
     "hyedge_features": on_customers(lambda inc: totals(refine.hyperedge_wl(inc, 2))),
-    "hyedge_kernel": on_nations(lambda inc: normalised(refine.hyperedge_wl(inc, 2))),
+    "hyedge_kernel": on_nations(lambda inc: normalised(refine.hyperedge_wl(inc, 2, by_graph=False))),
     "list_wl_features": on_customers(lambda inc: totals(refine.list_wl(inc, 2))),
     "graph_wl_features": on_cliques(lambda adj: totals(refine.graph_wl(adj, 2))),
     "sum_wl_features": on_customers(lambda inc: totals(refine_ids.sum_wl(inc, 2)[0])),

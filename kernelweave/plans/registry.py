@@ -20,6 +20,8 @@ from ..operators.common import durable
 class Graphs:
     inc: DataFrame
     vertices: DataFrame | None = None
+    #: Whether a graph is small enough for one task; else every step is dealt out anew.
+    by_graph: bool = True
 
     @property
     def adj(self) -> DataFrame:
@@ -40,7 +42,7 @@ class Graphs:
     def where(self, ids: DataFrame) -> Graphs:
         """The graphs of ``ids`` (gid)."""
         keep = lambda df: df.join(ids.select("gid"), "gid", "left_semi")
-        return Graphs(keep(self.inc), None if self.vertices is None else keep(self.vertices))
+        return Graphs(keep(self.inc), None if self.vertices is None else keep(self.vertices), self.by_graph)
 
 
 def graphs(collection: Graphs | DataFrame) -> Graphs:
@@ -162,7 +164,7 @@ class PersistenceKernel:
     vectors: VectorKernel | None = None
 
     def fit(self, collection: Graphs | DataFrame) -> PersistenceKernel:
-        self.counts = Kernel(lambda g: refine.graph_wl(g.adj, 2, g.vertices), normalise=self.normalise)
+        self.counts = Kernel(lambda g: refine.graph_wl(g.adj, 2, g.vertices, g.by_graph), normalise=self.normalise)
         self.vectors = VectorKernel(lambda g: persistence.persistence_features(g.adj, self.p, g.vertices)[0])
         self.counts.fit(collection), self.vectors.fit(collection)
         return self
@@ -196,7 +198,7 @@ def degree_steps(g: Graphs, steps: int) -> DataFrame:
 
 def homs(types: str, adj: Callable[[Graphs], DataFrame]) -> VectorKernel:
     def vectors(g: Graphs) -> DataFrame:
-        return patterns.ghc_features(adj(g), types).withColumnRenamed("pattern", "dim")
+        return patterns.ghc_features(adj(g), types, by_graph=g.by_graph).withColumnRenamed("pattern", "dim")
 
     return VectorKernel(vectors, p=1)
 
@@ -213,7 +215,7 @@ def motifs(table: Callable[[], DataFrame] | DataFrame) -> Kernel:
 
 
 def wl(rounds: int, how: str = "product") -> Kernel:
-    return Kernel(lambda g: refine.hypergraph_wl(g.inc, rounds, g.vertices), how=how)
+    return Kernel(lambda g: refine.hypergraph_wl(g.inc, rounds, g.vertices, g.by_graph), how=how)
 
 
 def walk_kernel(steps: int) -> VectorKernel:
@@ -221,15 +223,15 @@ def walk_kernel(steps: int) -> VectorKernel:
 
 
 KERNELS: dict[str, Callable[..., object]] = {
-    "graph_subtree": lambda: Kernel(lambda g: refine.graph_wl(g.adj, 4, g.vertices)),
+    "graph_subtree": lambda: Kernel(lambda g: refine.graph_wl(g.adj, 4, g.vertices, g.by_graph)),
     "graphlet_sampling": lambda: Kernel(lambda g: patterns.sampled_graphlets(g.adj, g.all_vertices)),
     "graph_retgk": lambda: fourier(3, lambda g: walks.return_probabilities(walks.graph_walk(g.adj, g.vertices), 3)),
     "hypergraph_rethgk": lambda: walk_kernel(3),
     "graph_shortestpath": lambda: VectorKernel(lambda g: patterns.binned(patterns.path_histogram(g.adj, g.vertices))),
     "hypergraph_rooted": lambda: Kernel(lambda g: soft.fused(soft.rooted_sampled(g.inc))),
-    "hypergraph_directed_line": lambda: Kernel(lambda g: refine_ids.directed_line_wl(g.inc, 4)),
+    "hypergraph_directed_line": lambda: Kernel(lambda g: refine_ids.directed_line_wl(g.inc, 4, g.by_graph)),
     "hypergraph_subtree": lambda: wl(4, "least"),
-    "hypergraph_hyedge": lambda: Kernel(lambda g: refine.hyperedge_wl(g.inc, 4, g.vertices)),
+    "hypergraph_hyedge": lambda: Kernel(lambda g: refine.hyperedge_wl(g.inc, 4, g.vertices, g.by_graph)),
     "hypergraph_ewl": lambda: FittedKernel(lambda g, known: refine_ids.early_stopping_wl(g.inc, 2, 2, g.vertices, known)),
     "hypergraph_sum_wl": lambda: FittedKernel(lambda g, known: refine_ids.sum_wl(g.inc, 2, g.vertices, known)),
     "graph_2wl": lambda: Kernel(lambda g: refine_ids.two_wl(g.adj, 2, g.vertices)),

@@ -90,3 +90,13 @@ def test_stream_scores_like_a_batch(spark, tmp_path):
     query.stop()
     got = spark.read.parquet(f"{tmp_path}/out").select("gid_a", "gid_b", "k")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, scoring.score_batch(graphs, train).collect()))
+
+
+def test_blocks_of_a_gram_matrix(spark):
+    rng = random.Random(3)
+    rows = [(g, f"f{k}", rng.randrange(1, 5)) for g in range(30) for k in range(6) if k == 0 or rng.random() < 0.4]
+    features = spark.createDataFrame(rows, "gid long, fid string, cnt int")
+    for how in ("product", "least"):
+        want = {(r.gid_a, r.gid_b): r.k for r in kernels.gram(features, how=how).collect()}
+        assert {(r.gid_a, r.gid_b): r.k for r in kernels.gram(features, how=how, blocks=4).collect()} == want
+        assert len(want) == 900
