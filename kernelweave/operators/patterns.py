@@ -83,7 +83,7 @@ def hom_trees(adj: DataFrame, trees: dict[str, tuple[int, ...]], vertices: DataF
     for level in range(1, max(map(height, order)) + 1):
         columns = [f"h{place[t]}" for t in done]
         sends = F.transform("near", lambda n: F.struct(n.alias("to"), F.lit(False).alias("self")))
-        each = state.withColumn("x", F.explode(F.array_append(sends, F.struct(F.col("vid").alias("to"), F.lit(True).alias("self")))))
+        each = state.withColumn("x", F.explode_outer(F.array_append(sends, F.struct(F.col("vid").alias("to"), F.lit(True).alias("self")))))
         kept = F.when(F.col("x.self"), F.struct("near", *columns))
         sent = [F.when(~F.col("x.self"), F.col(c)).alias(f"s{c}") for c in columns]
         met = each.select("gid", F.col("x.to").alias("vid"), kept.alias("own"), *sent).groupBy("gid", "vid")
@@ -217,15 +217,28 @@ def cycles(adj: DataFrame, k: int) -> DataFrame:
     return closed.groupBy("gid").agg(F.count("*").alias("cycles"))
 
 
-def triangles(adj: DataFrame) -> DataFrame:
-    """gid, triangles. Edges point to the end of the higher degree, so that hubs start few wedges."""
-    deg = symmetric(adj).groupBy("gid", "u").agg(F.count("*").alias("d"))
-    both = adj.join(deg.withColumnRenamed("d", "du"), ["gid", "u"]).join(deg.withColumnsRenamed({"u": "v", "d": "dv"}), ["gid", "v"])
-    up = F.struct("du", "u") < F.struct(F.col("dv").alias("du"), F.col("v").alias("u"))
-    arcs = durable(both.select("gid", F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("b")))
-    wedges = arcs.join(arcs.withColumnRenamed("b", "c"), ["gid", "a"]).where("b < c")
-    ends = adj.select("gid", F.col("u").alias("b"), F.col("v").alias("c"))
-    return wedges.join(ends, ["gid", "b", "c"]).groupBy("gid").agg(F.count("*").alias("triangles"))
+def triangles(adj: DataFrame, by_graph: bool = True) -> DataFrame:
+    """gid, triangles. Edges point to the end of the higher degree, so that hubs start few wedges.
+
+    Degrees, directions, wedges and the edges that close them are groups by graph and something else, so one shuffle
+    by graph serves all of them.
+    """
+    both = symmetric(adj)
+    both = both.repartition("gid") if by_graph else both
+    lists = both.groupBy("gid", "u").agg(F.collect_list("v").alias("near"))
+    ends = lists.select("gid", "u", F.size("near").alias("d"), F.explode("near").alias("v"))
+    a, b = F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")
+    edges = ends.groupBy("gid", a, b).agg(F.max(F.when(F.col("u") < F.col("v"), F.col("d"))).alias("da"), F.max(F.when(F.col("u") > F.col("v"), F.col("d"))).alias("db"))
+    up = F.col("da") <= F.col("db")
+    arcs = edges.select("gid", F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y"))
+    outs = arcs.groupBy("gid", "x").agg(F.array_sort(F.collect_list("y")).alias("out"))
+    each = outs.select("gid", "x", "out", F.posexplode("out").alias("at", "y"))
+    own = F.struct(F.least("x", "y").alias("b"), F.greatest("x", "y").alias("c"), F.lit(0).alias("wedge"), F.lit(1).alias("edge"))
+    rest = F.slice("out", F.col("at") + 2, F.greatest(F.size("out"), F.lit(1)))
+    wedges = F.transform(rest, lambda z: F.struct(F.col("y").alias("b"), z.alias("c"), F.lit(1).alias("wedge"), F.lit(0).alias("edge")))
+    rows = each.select("gid", F.explode_outer(F.concat(F.array(own), wedges)).alias("r")).select("gid", "r.*")
+    met = rows.groupBy("gid", "b", "c").agg(F.sum("wedge").alias("n"), F.max("edge").alias("edge")).where("edge = 1 AND n > 0")
+    return met.groupBy("gid").agg(F.sum("n").alias("triangles"))
 
 
 # -- graphlets ------------------------------------------------------------------------------------------
@@ -321,19 +334,22 @@ def sampled_graphlets(adj: DataFrame, vertices: DataFrame, k: int = 5, samples:
 def shortest_paths(adj: DataFrame, most: int | None = None) -> DataFrame:
     """gid, u, v, d for ordered pairs of distinct vertices that reach each other (within ``most`` steps, if given).
 
-    Rounds of frontier joins, until no pair is new.
+    In a round, the pairs that were new meet the neighbours of their ends, and a pair keeps its least distance; the
+    rounds go on until none is new.
     """
     both = durable(symmetric(adj))
-    reached = frontier = both.select("gid", "u", "v", F.lit(1).alias("d"))
-    d = 1
+    kind = dict(both.dtypes)["u"]
+    none, nobody = F.lit(None).cast(kind), F.lit(None).cast(f"array<{kind}>")
+    near = durable(both.groupBy("gid", "u").agg(F.collect_list("v").alias("near")).select("gid", F.col("u").alias("m"), none.alias("src"), "near"))
+    reached, d = both.select("gid", "u", "v", F.lit(1).alias("d")), 1
     while most is None or d < most:
+        ends = reached.where(F.col("d") == d).select("gid", F.col("v").alias("m"), F.col("u").alias("src"), nobody.alias("near"))
+        met = ends.unionByName(near).groupBy("gid", "m").agg(F.collect_list("src").alias("srcs"), F.first("near", ignorenulls=True).alias("near"))
+        step = met.select("gid", "near", F.explode("srcs").alias("u")).select("gid", "u", F.explode("near").alias("v")).where("u != v")
         d += 1
-        step = frontier.select("gid", "u", F.col("v").alias("m")).join(both.select("gid", F.col("u").alias("m"), "v"), ["gid", "m"])
-        new = step.where("u != v").select("gid", "u", "v").distinct().join(reached, ["gid", "u", "v"], "left_anti")
-        frontier = durable(new.withColumn("d", F.lit(d)))
-        if frontier.isEmpty():
+        reached = durable(reached.unionByName(step.withColumn("d", F.lit(d))).groupBy("gid", "u", "v").agg(F.min("d").alias("d")))
+        if reached.where(F.col("d") == d).isEmpty():
             break
-        reached = durable(reached.unionByName(frontier))
     return reached
 
 

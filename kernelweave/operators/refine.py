@@ -150,7 +150,8 @@ def graph_round(v: DataFrame) -> DataFrame:
     """One round: every vertex sends its label to its neighbours, and to itself all that it keeps."""
     own = F.struct("bag", "near", "lbl")
     send = F.transform("near", lambda n: F.struct(n.alias("to"), F.lit(None).cast(_type(v, "bag", "near", "lbl")).alias("own")))
-    rows = v.select("gid", "lbl", F.explode(F.array_append(send, F.struct(F.col("vid").alias("to"), own.alias("own")))).alias("x"))
+    # "outer", or else a filter for filled arrays would make them twice; none is empty
+    rows = v.select("gid", "lbl", F.explode_outer(F.array_append(send, F.struct(F.col("vid").alias("to"), own.alias("own")))).alias("x"))
     rows = rows.select("gid", F.col("x.to").alias("vid"), F.when(F.col("x.own").isNull(), F.col("lbl")).alias("sent"), "x.own")
     got = rows.groupBy("gid", "vid").agg(F.collect_list("sent").alias("got"), F.first("own", ignorenulls=True).alias("own"))
     label = code("v", F.col("own.lbl"), listed(F.col("got")))

@@ -524,3 +524,10 @@ ORACLES |= {
     "kernel_hypergraph_motifs": MOTIFS,
     "kernel_hypergraph_mochy": MOTIFS,
 }
+#: The largest of: logarithm of a class's share, less half the sum of log(2 pi v) + (x - m)^2 / v, v slightly widened.
+ORACLES["nb_predict"] = (
+    f"WITH {POINTS}, lg AS (SELECT gid, c, unnest(range(64)) AS dim, unnest(x) AS x FROM pt), tr AS (SELECT * FROM lg WHERE gid % 5 <> 0), "
+    "eps AS (SELECT 1e-9 * max(v) AS e FROM (SELECT var_pop(x) AS v FROM tr GROUP BY dim)), st AS (SELECT c, dim, avg(x) AS m, var_pop(x) + any_value(e) AS v FROM tr, eps GROUP BY c, dim), "
+    "n AS (SELECT c, count(DISTINCT gid) AS n FROM tr GROUP BY c), s AS (SELECT lg.gid, st.c, any_value(ln(n.n)) - 0.5 * sum(ln(2 * pi() * v) + (x - m) * (x - m) / v) AS s "
+    "FROM lg JOIN st ON st.dim = lg.dim JOIN n ON n.c = st.c WHERE lg.gid % 5 = 0 GROUP BY lg.gid, st.c) SELECT gid, CAST(arg_max(c, s) AS INTEGER) AS pred FROM s GROUP BY gid"
+)

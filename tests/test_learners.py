@@ -124,3 +124,15 @@ def test_distances_of_sparse_vectors(spark):
         got = {(r.gid_a, r.gid_b): r.d for r in kernels.distances(spark.createDataFrame(rows, "gid long, dim int, x double"), p, ids=ids).collect()}
         assert len(got) == 81
         assert all(abs(got[a, b] - (np.abs(x[a] - x[b]) ** p).sum() ** (1 / p)) < 1e-9 for a in range(9) for b in range(9))
+
+
+def test_clusters_are_the_nearest_centres(spark):
+    df, x, y = points(spark, 90, apart=9.0, seed=5)
+    got = {r.gid: r.cluster for r in svm.clusters(df.select("gid", "x"), 3).collect()}
+    found = np.array([got[i] for i in range(90)])
+    centres = np.array([x[found == c].mean(axis=0) for c in range(3)])
+    nearest = np.linalg.norm(x[:, None] - centres[None], axis=2).argmin(axis=1)
+    assert (nearest == found).all() and all(len(set(y[found == c])) == 1 for c in range(3))
+    train, test = df.where("gid % 2 = 0"), df.where("gid % 2 = 1")
+    apart = svm.cluster_predictions(train, test, 3).collect()
+    assert len(apart) == 45 and len({(r.cluster, y[r.gid]) for r in apart}) == 3
