@@ -8,25 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import durable
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["durable", "map_batches", "pieces", "table", "text_or_empty"]
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the folder of ``spark.checkpoint.dir``, which every executor sees.
 
-    Where that setting is absent, a relative folder of the default file system stands in on one machine;
-    on a cluster it is an error, as a folder that only the driver sees would lose the rows.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_or_empty(column: str = "text"):
