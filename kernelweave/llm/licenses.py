@@ -233,7 +233,8 @@ def headers(files: DataFrame) -> DataFrame:
     lower = F.lower(text_or_empty())
     named = F.coalesce(F.regexp_extract(F.lower(F.element_at(F.split("path", "/"), -1)), LICENCE_FILE, 0) != "", F.lit(False))
     rows = files.select("row", "path", lower.alias("text"), named.alias("named")).where(F.col("text").rlike(TRIGGER) | F.col("named"))
-    return units(rows).select("row", "path", "named", F.explode("units").alias("header")).where("header != ''")
+    # "outer", as a filter for filled arrays would be pushed below the units and make them twice more
+    return units(rows).select("row", "path", "named", F.explode_outer("units").alias("header")).where("header != ''")
 
 
 def vectors(texts: DataFrame, idf: DataFrame, known: Column) -> DataFrame:
