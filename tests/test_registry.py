@@ -90,7 +90,7 @@ def test_runner(spark, tmp_path):
     experiment.main(["cluster", "--config", str(tmp_path / "run.yaml"), "--kernels", "hypergraph_v_e", "--data", files[0], "--out", out])
     assert {"silhouette_mean", "nmi_mean", "davies_bouldin_var"} <= set(spark.read.csv(out, header=True).columns)
     experiment.main(["runtime", "--sweep", "graphs", "--values", "2", "3", "--kernels", "hypergraph_v_e", "--out", out])
-    assert [float(r.seconds_mean) > 0 for r in spark.read.csv(out, header=True).collect()] == [True]
+    assert [float(r.seconds) > 0 for r in spark.read.csv(out, header=True).collect()] == [True, True]
 
 
 def test_many_labels_run(spark):
