@@ -188,11 +188,11 @@ QUERIES: dict[str, Query] = {
     "two_wl_features": on_cliques(lambda adj: totals(refine_ids.two_wl(adj, 2))),
     "directed_line_features": on_customers(lambda inc: totals(refine_ids.directed_line_wl(inc, 2))),
     "soft_edge_weights": on_customers(soft.soft_edge_weights),
-    "rooted_expected_sequences": on_customers(lambda inc: rounded_p(soft.rooted_expected(inc))),
+    "rooted_expected_sequences": on_customers(lambda inc: rounded_p(soft.rooted_expected_whole(inc))),
     "evmn_features": on_customers(lambda inc: walks.degree_walk(inc).withColumn("p", F.round("p", 9))),
     "return_prob_hyper": on_nations(lambda inc: rounded_p(walks.diagonals(walks.hypergraph_walk(inc), 3))),
     "return_prob_graph": on_cliques(lambda adj: rounded_p(walks.diagonals(walks.graph_walk(adj), 3))),
-    "isomo_trace_features": on_customers(lambda inc: walks.cooccurrence_traces(inc, 3)),
+    "isomo_trace_features": on_customers(lambda inc: walks.cooccurrence_traces(inc, 3, by_graph=True)),
     "hom_edge": homs("edge"),
     "hom_path3": homs("path3"),
     "hom_star3": homs("star3"),
@@ -244,7 +244,7 @@ QUERIES |= {
     "induced_edges": on_cliques(lambda adj: structure.induced(adj, convert.symmetric(adj).select("gid", F.col("u").alias("vid")).where("vid LIKE '%A%'"))),
     "symmetric_walk": on_nations(lambda inc: rounded_p(walks.diagonals(walks.symmetric_walk(inc), 2))),
     "lazy_walk": on_cliques(lambda adj: walks.lazy_walk(adj, 0.3).withColumn("w", F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(F.round(F.col("w") + 1e-12, 9)))),
-    "soft_walk": on_customers(lambda inc: walks.diagonals(soft.soft_walk(inc), 2).withColumn("p", F.round(F.col("p") + 1e-12, 5))),
+    "soft_walk": on_customers(lambda inc: soft.soft_returns(inc, 2).withColumn("p", F.round(F.col("p") + 1e-12, 5))),
     "rooted_kernel_fuse": on_nations(lambda inc: kernels.gram(soft.fused(soft.rooted_features(inc))).withColumn("k", F.round(F.col("k") + 1e-12, 5))),
     "rooted_sampled": on_customers(soft.rooted_sampled),
     "automatic_walks": on_customers(soft.automatic_walks),
@@ -260,7 +260,7 @@ QUERIES |= {
     "class_accuracies": lambda spark, sf_dir: learn.class_accuracies(knn_scored(spark, sf_dir)),
     "train_test_split": lambda spark, sf_dir: learn.train_test(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("gid")), 0.1, 2),
     "kfold_seeded": lambda spark, sf_dir: learn.kfold(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("gid")), 5, 2023),
-    "silhouette": lambda spark, sf_dir: learn.silhouette(kernels.distances(labelled_clusters(spark, sf_dir)[0], 2), labelled_clusters(spark, sf_dir)[1]),
+    "silhouette": lambda spark, sf_dir: learn.silhouette_of(vectors(spark, sf_dir), labelled_clusters(spark, sf_dir)[1]),
     "davies_bouldin": lambda spark, sf_dir: learn.davies_bouldin(*labelled_clusters(spark, sf_dir)),
     "calinski_harabasz": lambda spark, sf_dir: learn.calinski_harabasz(*labelled_clusters(spark, sf_dir)),
     "event_sessions": sessions,

@@ -78,6 +78,16 @@ def test_regression():
     assert np.abs(guess - np.sin(x[1::2, 0])).max() < 0.25
 
 
+def test_silhouette_in_blocks(spark):
+    """Blocks against all pairs as rows, with copies of rows and a cluster of one row."""
+    df, _, y = points(spark, 40, apart=2.0)
+    df = df.unionByName(df.limit(10).withColumn("gid", F.col("gid") + 100))
+    found = df.select("gid", F.when(F.col("gid") == 39, 99).otherwise(F.col("y").cast("int")).alias("cluster"))
+    want = learn.silhouette(kernels.distances(df.select("gid", F.posexplode("x").alias("dim", "x")), 2), found).first()[0]
+    for block in (3, 7, 2048):
+        assert learn.silhouette_of(df, found, block=block).first()[0] == want
+
+
 def test_cluster_metrics_against_brute_force(spark):
     df, x, y = points(spark, 40, apart=2.0)
     found = df.select("gid", F.col("y").cast("int").alias("cluster"))

@@ -92,6 +92,29 @@ def test_soft_walk_in_blocks(spark, monkeypatch):
     assert len(several) == 4
 
 
+def test_whole_graphs_give_what_joins_give(spark):
+    """One task a graph against products by joins; graphs end within and at the ends of batches."""
+    inc = incidence(spark, HYPER | {g: random_hypergraph(g, 6, 9) for g in range(10, 60)})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for got, want, keys in (
+            (walks.cooccurrence_traces(inc, 3, by_graph=True), walks.cooccurrence_traces(inc, 3), ("gid", "step")),
+            (soft.soft_returns(inc, 2), walks.diagonals(soft.soft_walk(inc), 2), ("gid", "vid", "step")),
+            (soft.rooted_expected_whole(inc, 3), soft.rooted_expected(inc, 3), ("gid", "length", "seq")),
+        ):
+            value = [c for c in want.columns if c not in keys][0]
+            got, want = ({tuple(r[k] for k in keys): r[value] for r in x.collect()} for x in (got, want))
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-9 * want[k] for k in want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_traces_beyond_doubles(spark):
+    """One hyperedge of 61 vertices: the trace of (H H^T)^9 is 61 ** 9, an odd number that no double is."""
+    inc = incidence(spark, {1: [list(range(61))]})
+    assert walks.cooccurrence_traces(inc, 9, by_graph=True).where("step = 9").first().trace == 61**9
+
+
 def test_expected_walks(spark):
     """Against all chains of hyperedges."""
     got = {(r.gid, r.seq): r.p for r in soft.rooted_expected(incidence(spark, HYPER), 3).collect()}
