@@ -157,6 +157,17 @@ def test_lines_that_are_alike_are_one_row(spark):
     assert refine_ids._lines(plan.sparkSession.createDataFrame([(1, 0, 1, "x", 900)], "gid long, a long, b long, lbl string, n long"), 1, "in").agg(F.sum("cnt")).first()[0] == 1800
 
 
+def test_pairs_of_whole_graphs(spark):
+    """Against the joins, with repeated rows, a vertex without neighbours, and fewer matrices kept than there are."""
+    graphs = HYPER | {g: [*random_hypergraph(g, 6, 4), [6]] for g in range(10, 20)} | {30: [[0]]}
+    inc = incidence(spark, graphs)
+    want = Counter()
+    for r in refine_ids.two_wl(convert.clique(inc), 2).collect():
+        want[r.gid, r.fid] += r.cnt
+    got = refine_ids.two_wl_cliques(inc.unionByName(inc), 2, kept=2).collect()
+    assert {(r.gid, r.fid): r.cnt for r in got} == want and len(got) == len(want)
+
+
 def test_strongly_regular_pair(spark):
     """Refinement and walks cannot tell the two graphs on sixteen vertices apart; complete subgraphs can."""
     graphs = {1: structure.rook(4), 2: structure.shrikhande()}
