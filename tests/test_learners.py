@@ -78,6 +78,15 @@ def test_regression():
     assert np.abs(guess - np.sin(x[1::2, 0])).max() < 0.25
 
 
+def test_forest_in_parts(spark):
+    """Trees grown a few at a time vote as one forest."""
+    df, _, y = points(spark, 60, apart=2.0)
+    rows = df.withColumn("y", F.col("y").cast("double"))
+    for most in (10**6, 400):  # all at once, and three at once
+        found = {r.gid: r.pred for r in svm.forest(rows, rows.select("gid", "x"), trees=7, depth=5, most=most).collect()}
+        assert len(found) == 60 and np.mean([found[r.gid] == r.y for r in rows.collect()]) > 0.9
+
+
 def test_silhouette_in_blocks(spark):
     """Blocks against all pairs as rows, with copies of rows and a cluster of one row."""
     df, _, y = points(spark, 40, apart=2.0)
