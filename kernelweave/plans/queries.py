@@ -189,7 +189,7 @@ QUERIES: dict[str, Query] = {
     "list_wl_features": on_customers(lambda inc: totals(refine.list_wl(inc, 2))),
     "graph_wl_features": on_cliques(lambda adj: totals(refine.graph_wl(adj, 2))),
     "sum_wl_features": on_customers(lambda inc: totals(refine_ids.sum_wl(inc, 2)[0])),
-    "ewl_features": on_customers(lambda inc: totals(refine_ids.early_stopping_wl(inc, 3, 3)[0])),
+    "ewl_features": on_whole_customers(lambda inc: refine_ids.early_stopping_whole(inc, 3, 3)),
     "two_wl_features": on_whole_customers(lambda inc: refine_ids.two_wl_cliques(inc, 2), "p_type"),
     "directed_line_features": on_customers(lambda inc: totals(refine_ids.directed_line_wl(inc, 2))),
     "soft_edge_weights": on_customers(soft.soft_edge_weights),

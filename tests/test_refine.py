@@ -184,3 +184,37 @@ def test_cycles_tell_what_trees_cannot(spark):
     inc = incidence(spark, {1: hexagon, 2: triangles})
     a, b = inc.where("gid = 1"), inc.where("gid = 2")
     assert refine_ids.isomorphic(a, b, cycles=False) and not refine_ids.isomorphic(a, b, trees=False)
+
+
+@pytest.mark.parametrize("threshold, least", [(1, 0), (3, 20), (3, 100_000), (1000, 20)])
+def test_early_stopping_of_whole_graphs(spark, threshold, least):
+    """As brute force, in rows of one graph, of some and of all; members may be repeated."""
+    graphs = {g: random_hypergraph(g % 5, 7, 5) for g in range(9)}
+    inc = incidence(spark, graphs)
+    got = refine_ids.early_stopping_whole(inc.unionByName(inc), 3, threshold, least).collect()
+    assert classes(got) == brute_early(graphs, 3, threshold)
+
+
+def test_early_stopping_sends_labels_and_no_vertices(spark, monkeypatch):
+    """What is kept between rounds are bytes of graphs and bits of labels; no row for each vertex is written to disk."""
+    kept = []
+    monkeypatch.setattr(refine_ids, "durable", lambda df: kept.append(df.cache()) or kept[-1])
+    graphs = {g: random_hypergraph(g % 3, 30, 20) for g in range(50)}
+    refine_ids.early_stopping_whole(incidence(spark, graphs), 3, 3).collect()
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    assert kept[0].count() <= int(tasks)
+    assert [df.columns for df in kept[1:]] == [["chunk", "bucket", "v", "e", "some"]] * 2
+    members = sum(len(m) for edges in graphs.values() for m in edges)
+    size = sum(len(x) for r in kept[0].collect() for x in r if isinstance(x, bytearray))
+    assert size < 4 * members  # a row of the vertices' labels had more than 64 for each member
+
+
+def test_early_stopping_with_nulls(spark):
+    """Members without an id count for degrees and sizes, and are not refined, as in the SQL."""
+    rows = [(1, 1, "a"), (1, 1, None), (1, 2, None), (1, 3, "a"), (None, 4, "a"), (None, 4, "b"), (0, 5, "a"), (0, 5, "b")]
+    inc = spark.createDataFrame(rows, "gid long, eid long, vid string")
+    md5 = lambda *x: hashlib.md5("|".join(x).encode()).hexdigest()
+    one, two = md5("v", "1"), md5("v", "2")
+    e1, e3, e5 = md5("e", md5("e", "2"), two), md5("e", md5("e", "1"), two), md5("e", md5("e", "2"), f"{one},{one}")
+    want = {(1, two): 2, (1, md5("v", two, ",".join(sorted([e1, e3])))): 1, (None, one): 2, (0, one): 2, (0, md5("v", one, e5)): 2}
+    assert {(r.gid, r.fid): r.cnt for r in refine_ids.early_stopping_whole(inc, 1, 3).collect()} == want
